@@ -31,6 +31,12 @@ def op3_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"))
 
 
+def op5_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from . import jaccard_join
+
+    return jaccard_join.join(table(spark, sf_dir, "documents"))
+
+
 def op6_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     from . import secrets
 
@@ -57,8 +63,19 @@ def op9_audio_features(spark: SparkSession, sf_dir: str) -> DataFrame:
     return media.digests(media.audio_features(table(spark, sf_dir, "documents")))
 
 
-QUERIES = {f.__name__: f for f in (op1_token_counts, op2_decontamination, op3_best_fit_packing, op6_secret_scan, op7_quality_classifier, op8_sharding, op9_audio_features)}
+QUERIES = {f.__name__: f for f in (op1_token_counts, op2_decontamination, op3_best_fit_packing, op5_ngram_jaccard_join, op6_secret_scan, op7_quality_classifier, op8_sharding, op9_audio_features)}
 ORACLE_SQL = {
+    "op5_ngram_jaccard_join": r"""
+WITH RECURSIVE d AS (SELECT DISTINCT doc_id, regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS w FROM documents),
+s AS (SELECT DISTINCT doc_id, array_to_string(list_slice(w, i, i + least(len(w), 4) - 1), ' ') AS s FROM (SELECT doc_id, w, unnest(range(1, len(w) - least(len(w), 4) + 2)) AS i FROM d WHERE len(w) > 0)),
+n AS (SELECT doc_id, count(*) AS n FROM s GROUP BY 1),
+meet AS (SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS k FROM s a JOIN s b ON a.s = b.s AND a.doc_id <> b.doc_id GROUP BY 1, 2),
+linked AS (SELECT a, b FROM meet JOIN n x ON x.doc_id = a JOIN n y ON y.doc_id = b WHERE 100 * k >= 85 * (x.n + y.n - k)),
+reach AS (SELECT DISTINCT doc_id AS a, doc_id AS b FROM documents UNION SELECT reach.a, linked.b FROM reach JOIN linked ON reach.b = linked.a)
+SELECT documents.doc_id, CAST(coalesce(n.n, 0) AS BIGINT) AS n_shingles, r.component_id, CAST(coalesce(l.n_links, 0) AS BIGINT) AS n_links
+FROM documents LEFT JOIN n USING (doc_id) LEFT JOIN (SELECT a AS doc_id, min(b) AS component_id FROM reach GROUP BY 1) r USING (doc_id)
+LEFT JOIN (SELECT a AS doc_id, count(*) AS n_links FROM linked GROUP BY 1) l USING (doc_id)
+""",
     "op2_decontamination": r"""
 WITH d AS (SELECT doc_id, regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM documents),
 b AS (SELECT item_id, regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM benchmark),
