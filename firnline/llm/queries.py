@@ -31,6 +31,12 @@ def op3_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"))
 
 
+def op4_suffix_tree_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from . import suffix_tree
+
+    return suffix_tree.score(table(spark, sf_dir, "documents"))
+
+
 def op5_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     from . import jaccard_join
 
@@ -63,7 +69,7 @@ def op9_audio_features(spark: SparkSession, sf_dir: str) -> DataFrame:
     return media.digests(media.audio_features(table(spark, sf_dir, "documents")))
 
 
-QUERIES = {f.__name__: f for f in (op1_token_counts, op2_decontamination, op3_best_fit_packing, op5_ngram_jaccard_join, op6_secret_scan, op7_quality_classifier, op8_sharding, op9_audio_features)}
+QUERIES = {f.__name__: f for f in (op1_token_counts, op2_decontamination, op3_best_fit_packing, op4_suffix_tree_scores, op5_ngram_jaccard_join, op6_secret_scan, op7_quality_classifier, op8_sharding, op9_audio_features)}
 ORACLE_SQL = {
     "op5_ngram_jaccard_join": r"""
 WITH RECURSIVE d AS (SELECT DISTINCT doc_id, regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS w FROM documents),

@@ -59,6 +59,7 @@ class Words:
     texts: int
     hash: np.ndarray  # uint64, one for each word
     bounds: np.ndarray  # text i has the words [bounds[i], bounds[i + 1])
+    ending: np.ndarray  # uint64, a hash of each word's last three bytes
 
     def of(self, i: int) -> np.ndarray:
         return self.hash[self.bounds[i] : self.bounds[i + 1]]
@@ -99,18 +100,22 @@ def words(texts: pa.Array, kind: np.ndarray) -> Iterator[Words]:
         begins[cut] = inside[cut]
         starts = np.flatnonzero(begins)
         if not len(starts):
-            yield Words(i, j - i, np.zeros(0, _U), np.zeros(j - i + 1, np.int64))
+            yield Words(i, j - i, np.zeros(0, _U), np.zeros(j - i + 1, np.int64), np.zeros(0, _U))
             continue
         ends = inside.copy()
         ends[:-1] &= ~inside[1:] | begins[1:]
         lengths = np.flatnonzero(ends) + 1 - starts
+        final = starts + lengths - 1
+        ending = _BYTE[body[final]]
+        for back in (1, 2):
+            ending = ending * _BASE + np.where(lengths > back, _BYTE[body[final - back]], _U(0))
         values = _BYTE[body]
         place = np.arange(len(body)) - _since(starts, len(body))
         powers = _power_table(int(lengths.max()) + 1)
         values *= powers[np.minimum(place, len(powers) - 1)]
         values[~inside[:-1]] = 0
         hashes = mix(np.add.reduceat(values, starts) + lengths.astype(_U) * _BASE)
-        yield Words(i, j - i, hashes, np.searchsorted(starts, at))
+        yield Words(i, j - i, hashes, np.searchsorted(starts, at), mix(ending))
 
 
 def _since(starts: np.ndarray, n: int) -> np.ndarray:
