@@ -69,7 +69,13 @@ def op9_audio_features(spark: SparkSession, sf_dir: str) -> DataFrame:
     return media.digests(media.audio_features(table(spark, sf_dir, "documents")))
 
 
-QUERIES = {f.__name__: f for f in (op1_token_counts, op2_decontamination, op3_best_fit_packing, op4_suffix_tree_scores, op5_ngram_jaccard_join, op6_secret_scan, op7_quality_classifier, op8_sharding, op9_audio_features)}
+def op10_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from . import html_text
+
+    return html_text.extract(table(spark, sf_dir, "pages"))
+
+
+QUERIES = {f.__name__: f for f in (op1_token_counts, op2_decontamination, op3_best_fit_packing, op4_suffix_tree_scores, op5_ngram_jaccard_join, op6_secret_scan, op7_quality_classifier, op8_sharding, op9_audio_features, op10_html_text)}
 ORACLE_SQL = {
     "op5_ngram_jaccard_join": r"""
 WITH RECURSIVE d AS (SELECT DISTINCT doc_id, regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS w FROM documents),
