@@ -45,7 +45,7 @@ def _changed(df: DataFrame) -> DataFrame:
 
 
 def _file_rows(n: int) -> int:
-    return max(500, n // 16)
+    return max(1, n // 16)
 
 
 def orders_table(spark: SparkSession, sf_dir: str) -> TieredTable:
@@ -124,7 +124,7 @@ def conversations_table(spark: SparkSession, sf_dir: str) -> TieredTable:
 
     def build(root: str) -> None:
         rows = read(spark, sf_dir, "conversations")
-        t = TieredTable.manage(spark, root, "conversations", rows.schema, ["conv_id", "turn"], Options(RowLimit(0, 1, 200, 1 << 40)), rows=rows)
+        t = TieredTable.manage(spark, root, "conversations", rows.schema, ["conv_id", "turn"], Options(RowLimit(0, 1, _file_rows(rows.count()), 1 << 40)), rows=rows)
         t.flush()
         first = rows.where("turn = 0")
         t.insert(first)
@@ -145,11 +145,11 @@ def evolved_table(spark: SparkSession, sf_dir: str) -> TieredTable:
         t.flush()
         t.rename_column("c_name", "full_name")
         t.add_column("tier", "int")
-        t.insert(c.where((k >= n // 2) & (k < n - 100)).withColumnRenamed("c_name", "full_name").withColumn("tier", F.lit(1)))
+        t.insert(c.where((k >= n // 2) & (k < n - n // 10)).withColumnRenamed("c_name", "full_name").withColumn("tier", F.lit(1)))
         t.flush()
         t.drop_column("c_mktsegment")
         t.add_column("c_mktsegment", "string")
-        t.insert(c.where(k >= n - 100).withColumnRenamed("c_name", "full_name").withColumn("tier", F.lit(2)))
+        t.insert(c.where(k >= n - n // 10).withColumnRenamed("c_name", "full_name").withColumn("tier", F.lit(2)))
 
     return _fixture(spark, sf_dir, "customer", build)
 
@@ -241,7 +241,7 @@ def flush_older_than(spark: SparkSession, sf_dir: str) -> DataFrame:
 
     def build(root: str) -> None:
         e = read(spark, sf_dir, "events").select("event_id", "ts", "user_id")
-        t = TieredTable.manage(spark, root, "aged", e.schema, ["event_id"], Options(OlderThan(days=10, min_flush_rows=1, max_rows_per_file=1000, max_rows_per_flush=1 << 40), order_column="ts"))
+        t = TieredTable.manage(spark, root, "aged", e.schema, ["event_id"], Options(OlderThan(days=10, min_flush_rows=1, max_rows_per_file=100, max_rows_per_flush=1 << 40), order_column="ts"))
         millis = F.expr("unix_millis(cast(ts AS timestamp))") - 1704067200000
         t.insert(e.withColumn("s", F.shiftleft(millis, 22) + F.col("event_id") + (1 << 52)), "s")
         top = e.agg(F.max("ts")).first()[0]
@@ -333,7 +333,7 @@ def tier_rehydrate(spark: SparkSession, sf_dir: str) -> DataFrame:
     if key not in _built:
         root = f"{shared_dir(spark)}/firnline-tables/{uuid.uuid4().hex[:12]}"
         rows = read(spark, sf_dir, "customer")
-        t = TieredTable.manage(spark, f"{root}/t", "rehydrated", rows.schema, ["c_custkey"], Options(RowLimit(100, 1, 500, 1 << 40)), rows=rows)
+        t = TieredTable.manage(spark, f"{root}/t", "rehydrated", rows.schema, ["c_custkey"], Options(RowLimit(20, 1, 50, 1 << 40)), rows=rows)
         t.flush()
         t.delete(rows.where(F.col("c_custkey") >= rows.count() - 10))
         t.unmanage(f"{root}/plain", drop_cold=True)
@@ -424,8 +424,8 @@ ORACLE_SQL: dict[str, str] = {
     "tier_scope_unset": "SELECT CAST(0 AS BIGINT) AS n",
     "tier_scope_feed": "SELECT doc_id, 1 AS op, 'cold' AS source FROM documents WHERE source = 'src3'",
     "tier_rename_col": "SELECT c_custkey, c_name AS full_name FROM customer",
-    "tier_add_col": f"{_CUST} SELECT c_custkey, CASE WHEN c_custkey < n // 2 THEN NULL WHEN c_custkey < n - 100 THEN 1 ELSE 2 END AS tier FROM customer, n",
-    "tier_drop_add_col": f"{_CUST} SELECT c_custkey, CASE WHEN c_custkey >= n - 100 THEN c_mktsegment END AS c_mktsegment FROM customer, n",
+    "tier_add_col": f"{_CUST} SELECT c_custkey, CASE WHEN c_custkey < n // 2 THEN NULL WHEN c_custkey < n - n // 10 THEN 1 ELSE 2 END AS tier FROM customer, n",
+    "tier_drop_add_col": f"{_CUST} SELECT c_custkey, CASE WHEN c_custkey >= n - n // 10 THEN c_mktsegment END AS c_mktsegment FROM customer, n",
     "tier_rehydrate": f"{_CUST} SELECT customer.* FROM customer, n WHERE c_custkey < n - 10",
     "feed_from_start": FEED,
     "feed_resume": f"SELECT * FROM ({FEED}) WHERE seq > {_N} // 2 ORDER BY seq LIMIT 100",
