@@ -108,7 +108,7 @@ def words(texts: pa.Array, kind: np.ndarray) -> Iterator[Words]:
         final = starts + lengths - 1
         ending = _BYTE[body[final]]
         for back in (1, 2):
-            ending = ending * _BASE + np.where(lengths > back, _BYTE[body[final - back]], _U(0))
+            ending = ending * _BASE + np.where(lengths > back, _BYTE[body[np.maximum(final - back, 0)]], _U(0))
         values = _BYTE[body]
         place = np.arange(len(body)) - _since(starts, len(body))
         powers = _power_table(int(lengths.max()) + 1)
