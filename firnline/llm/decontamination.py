@@ -24,13 +24,13 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, LongType, StringType, StructField, StructType
 
-from .scratch import id_text, settle
+from .scratch import bound_batches, free_names, id_text, settle
 from .words import ALNUM, Words, grams, words
 
 SPAN, GRAM = 10, 5
 ITEM_BYTES = 16_000_000
 
-FOUND = StructType([StructField("_words", LongType()), StructField("_spans", ArrayType(LongType())), StructField("_items", ArrayType(StringType()))])
+FOUND = (LongType(), ArrayType(LongType()), ArrayType(StringType()))
 
 
 def selected(hashes: np.ndarray, whole: np.ndarray) -> np.ndarray:
@@ -133,7 +133,7 @@ def merged(spans: list[tuple[int, int]]) -> list[tuple[int, int]]:
     return out
 
 
-def _scan(index: Index, later: bool, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _scan(index: Index, later: bool, found_names: list[str], batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for b in batches:
         n_words, spans, items = np.zeros(b.num_rows, np.int64), [[] for _ in range(b.num_rows)], [set() for _ in range(b.num_rows)]
         columns, names = b.columns, b.schema.names
@@ -148,19 +148,24 @@ def _scan(index: Index, later: bool, batches: Iterator[pa.RecordBatch]) -> Itera
                 spans[w.first + text] = merged(spans[w.first + text] + [(a - base, z - base) for a, z, _ in runs])
                 items[w.first + text] |= {index.ids[i] for _, _, i in runs}
         found = [pa.array(n_words), pa.array([[x for s in row for x in s] for row in spans], pa.list_(pa.int64())), pa.array([sorted(s) for s in items], pa.list_(pa.string()))]
-        yield pa.RecordBatch.from_arrays([*columns, *found], names=[*names, *FOUND.names])
+        yield pa.RecordBatch.from_arrays([*columns, *found], names=[*names, *found_names])
 
 
 def annotate(docs: DataFrame, items: DataFrame) -> DataFrame:
-    """``docs`` with _words (their number), _spans (first, end, first, end, ... of hit words, apart and in order) and _items (ids of items, sorted as strings)."""
+    """``docs`` with three more columns at its end: the number of words; first, end, first, end, ... of hit words, apart and in order; ids of items, sorted as strings.
+
+    They are named _words, _spans and _items, with underscores after that where ``docs`` has such names.
+    """
+    bound_batches(docs.sparkSession)
     known = items.select(F.col("item_id").cast("string").alias("i"), F.col("text").cast("string").alias("t")).where("i IS NOT NULL AND t IS NOT NULL")
     size = known.agg(F.sum(F.octet_length("t") + 64)).first()[0] or 0
     blocks = max(1, -(-size // ITEM_BYTES))
-    schema = StructType([*docs.schema, *FOUND])
+    names = free_names(docs, "_words", "_spans", "_items")
+    schema = StructType([*docs.schema, *map(StructField, names, FOUND)])
     out = docs
     for b in range(blocks):
         index = Index([(r["i"], r["t"]) for r in known.where(F.pmod(F.xxhash64("i", "t"), F.lit(blocks)) == b).collect()])
-        out = out.mapInArrow(lambda it, index=index, later=b > 0: _scan(index, later, it), schema)
+        out = out.mapInArrow(lambda it, index=index, later=b > 0: _scan(index, later, names, it), schema)
         if blocks > 1:
             out = settle(out, "hits")
     return out
@@ -177,4 +182,5 @@ def report(docs: DataFrame, items: DataFrame) -> DataFrame:
 
 def clean(docs: DataFrame, items: DataFrame) -> DataFrame:
     """The rows of ``docs`` without any hit."""
-    return annotate(docs, items).where(F.size("_items") == 0).select(*docs.columns)
+    found = annotate(docs, items)
+    return found.where(F.size(found.columns[-1]) == 0).select(*docs.columns)

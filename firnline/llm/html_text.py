@@ -24,6 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .scratch import bound_batches
 from .words import SPACED, words
 
 PATH_DIMS, WORD_DIMS, MEASURES, HIDDEN = 256, 24, 6, 32
@@ -488,6 +489,7 @@ def _extracted(weights: dict[str, np.ndarray], batches: Iterator[pa.RecordBatch]
 
 def extract(pages: DataFrame) -> DataFrame:
     """(page_id, url, text, n_chars) of every row of ``pages``."""
+    bound_batches(pages.sparkSession)
     weights = trained().p
     rows = pages.select(F.col("page_id").cast("long").alias("page_id"), F.col("url").cast("string").alias("url"), F.col("html").cast("string").alias("html"))
     return rows.mapInArrow(lambda it: _extracted(weights, it), "page_id long, url string, text string, n_chars long")

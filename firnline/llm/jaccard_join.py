@@ -28,14 +28,14 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .components import connected
-from .scratch import id_text, settle
+from .scratch import BROADCAST_ROWS, id_text, settle, small
 from .words import SPACED, mix, shingles, words
 
 K, PERCENT = 4, 85
-#: N-grams in one trie, and rows of candidates up to which their ids are broadcast.
-TILE, BROADCAST_ROWS = 1_500_000, 2_000_000
+#: N-grams in one trie, about.
+TILE = 400_000
 #: Signatures that a task holds before it sends one row for each.
-HELD = 2_000_000
+HELD = 1_000_000
 _U = np.uint64
 
 
@@ -221,7 +221,7 @@ class Trie:
         return levels
 
 
-def trie_links(values: np.ndarray, bounds: np.ndarray, cluster: np.ndarray, left: np.ndarray, right: np.ndarray, room: int = 2_000_000) -> tuple[np.ndarray, np.ndarray]:
+def trie_links(values: np.ndarray, bounds: np.ndarray, cluster: np.ndarray, left: np.ndarray, right: np.ndarray, room: int = 500_000) -> tuple[np.ndarray, np.ndarray]:
     """All linked pairs of distinct sets, one of ``left`` and one of ``right``, in one cluster.
 
     Set i is values[bounds[i]:bounds[i + 1]], not empty. ``left`` and ``right`` are masks that
@@ -374,5 +374,5 @@ def join(docs: DataFrame) -> DataFrame:
 
 def representatives(docs: DataFrame) -> DataFrame:
     """``docs`` with one document of each component: the one with the least doc_id. Rows without doc_id stay."""
-    gone = join(docs).where("component_id <> doc_id").select("doc_id").distinct()
-    return docs.join(gone, "doc_id", "left_anti").select(*docs.columns)
+    gone = settle(join(docs).where("component_id <> doc_id").select("doc_id").distinct(), "gone")
+    return docs.join(small(gone), "doc_id", "left_anti").select(*docs.columns)

@@ -30,7 +30,7 @@ from .scratch import id_text, ranked
 
 LENGTH, END = 2048, 0
 #: Encoded words that a worker keeps, and the longest word that it keeps.
-KEPT_WORDS, KEPT_LETTERS = 900_000, 48
+KEPT_WORDS, KEPT_LETTERS = 300_000, 48
 #: Bytes of texts that are encoded together.
 RUN_BYTES = 1_000_000
 
@@ -92,7 +92,7 @@ class Coder:
     encoded by ranks where ``ranks_of`` shows that to be the same, as that is several times faster.
     """
 
-    def __init__(self, path: str, by_rank: bool = False):
+    def __init__(self, path: str, ranks: dict[bytes, int] | None = None):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
@@ -104,7 +104,7 @@ class Coder:
         self.ends[[i for name, i in names.items() if name.endswith("</w>")]] = True
         self.stops = {p: self._whole(p) for p in STOPS}
         self.ranked = None
-        if by_rank and (ranks := ranks_of(path)):
+        if ranks:
             import tiktoken
 
             self.ranked = tiktoken.Encoding("words", pat_str="[^ ]+", mergeable_ranks=ranks, special_tokens={}).encode_ordinary
@@ -165,9 +165,9 @@ class Coder:
 _coders: dict[str, Coder] = {}
 
 
-def _pieces(path: str, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _pieces(path: str, ranks: dict[bytes, int] | None, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     if path not in _coders:
-        _coders[path] = Coder(path, by_rank=True)
+        _coders[path] = Coder(path, ranks)
     coder = _coders[path]
     end = np.array([END], "<u4").tobytes()
     kinds = (pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64())
@@ -324,8 +324,8 @@ def pack(docs: DataFrame, tokenizer: str) -> DataFrame:
 
     Only the histogram of lengths, at most LENGTH rows, reaches the driver.
     """
-    pieces = id_text(docs).mapInArrow(lambda it: _pieces(tokenizer, it), "doc_id long, piece int, start long, length long, ids_crc32 long")
-    held = ranked(pieces, "length", "_rank", "pieces")
+    ranks = ranks_of(tokenizer)
+    held = ranked(id_text(docs), "length", "_rank", "pieces", lambda it: _pieces(tokenizer, ranks, it), "doc_id long, piece int, start long, length long, ids_crc32 long")
     counted = held.groupBy("length").count().collect()
     where = places(plan({r["length"]: r["count"] for r in counted}))
     columns = held.select("doc_id", "piece", "start", "length", "ids_crc32", "_rank")

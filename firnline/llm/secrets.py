@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .scratch import id_text, settle
+from .scratch import free_names, id_text, settle, small
 
 KINDS = ("assign", "access", "hex", "random")
 ASSIGN = re.compile(r"""(?ai)(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""")
@@ -179,7 +179,7 @@ def _masked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         at = batch.schema.get_field_index("text")
         texts = []
-        for text, spans in zip(batch.column(at).to_pylist(), batch.column(batch.schema.get_field_index("_spans")).to_pylist(), strict=True):
+        for text, spans in zip(batch.column(at).to_pylist(), batch.column(batch.num_columns - 1).to_pylist(), strict=True):
             if spans:
                 out, last = [], 0
                 for s in spans:
@@ -197,5 +197,6 @@ def mask(docs: DataFrame) -> DataFrame:
 
     Rows are matched by doc_id, which is a key of ``docs``.
     """
-    spans = find(docs).where(F.size("spans") > 0).select("doc_id", F.col("spans").alias("_spans"))
-    return docs.join(spans, "doc_id", "left").select(*docs.columns, "_spans").mapInArrow(_masked, docs.schema)
+    (name,) = free_names(docs, "_spans")
+    spans = find(docs).where(F.size("spans") > 0).select("doc_id", F.col("spans").alias(name))
+    return docs.join(small(spans), "doc_id", "left").select(*docs.columns, name).mapInArrow(_masked, docs.schema)
