@@ -337,6 +337,15 @@ def _sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([*batch.columns[1:], pa.array(items, pa.binary())], names=[*batch.schema.names[1:], "items"])
 
 
+def _classed(mine: DataFrame, classes: DataFrame) -> DataFrame:
+    """Each document with its class. Classes of a thousandth of all documents or more, at most a thousand, are broadcast, so that none meets in one task."""
+    keys, often = ["d1", "d2"], max(1000, mine.count() // 1000)
+    classes = settle(classes, "sets")
+    hot = F.broadcast(classes.where(F.col("copies") >= often))
+    rest = mine.join(hot.select(*keys), keys, "left_anti").join(classes.where(F.col("copies") < often), keys, "left")
+    return mine.join(hot, keys).unionByName(rest)
+
+
 def join(docs: DataFrame) -> DataFrame:
     """(doc_id, n_shingles, component_id, n_links) of every row of ``docs``.
 
@@ -347,7 +356,7 @@ def join(docs: DataFrame) -> DataFrame:
     signed = settle(docs.mapInArrow(_signed, _ROWS).repartition("key").mapInArrow(_starred, _ROWS), "signed")
     mine = signed.where(f"kind = {_DOC}").selectExpr("doc", "size", "d1", "d2")
     classes = mine.where("size > 0 AND doc IS NOT NULL").groupBy("d1", "d2").agg(F.min("doc").alias("rep"), F.countDistinct("doc").alias("copies"))
-    known = settle(mine.join(classes, ["d1", "d2"], "left").select("doc", "size", "rep", "copies"), "classes")
+    known = settle(_classed(mine, classes).select("doc", "size", "rep", "copies"), "classes")
     rep_of = known.where("rep IS NOT NULL").select("doc", "rep").distinct()
     edges = signed.where(f"kind = {_EDGE}").selectExpr("key AS a", "doc AS b").distinct()
     edges = edges.join(rep_of.selectExpr("doc AS a", "rep AS ra"), "a").join(rep_of.selectExpr("doc AS b", "rep AS rb"), "b").selectExpr("ra AS a", "rb AS b")
