@@ -29,10 +29,10 @@ PREDICTED_FROM = 0.3
 
 #: Very frequent words of four languages.
 COMMON = (
-    "the of and to in is that for it as was with be by on not he his but at are this have from or had an they which one you were all her she there would their we him been has when who will no more if out so what up said its about than into them can only other time new some could these two may first then do any like my now over such our "
-    "der die das und in den von zu mit sich des auf für ist im dem nicht ein eine als auch es an werden aus er hat dass sie nach wird bei einer um am sind noch wie einem über einen so zum haben nur oder aber vor zur bis mehr durch man sein wurde wenn "
-    "le la les de des et en un une du que est pour qui dans par sur pas au plus ne se sont avec il ce cette mais ou son sa ses aux été être comme nous vous ils elle tout fait leur y deux ces même "
-    "el los las y un una por con no su para es al lo como más o pero sus ha me si sin sobre este ya entre cuando todo esta ser son también fue había era muy años hasta desde está"
+    "the of and to in is that for it as was with be by on not he his but at are this have from or had an they which one you were all her there would their we has when who will no "
+    "der die das und in den von zu mit sich des auf für ist im dem nicht ein eine als auch es an werden aus er hat dass sie nach wird bei einer um am sind noch wie einem über so "
+    "le la les de des et en un une du que est pour qui dans par sur pas au plus ne se sont avec il ce cette mais ou son sa aux été être comme nous vous ils elle "
+    "el los las y una por con no su para es al lo como más o pero sus ha me si sin sobre este ya entre cuando todo esta ser son también fue había era muy"
 ).split()
 
 _KIND = np.zeros(256, np.uint8)  # 1 upper, 2 lower, 3 digit, 4 white space, 5 other ASCII, 6 beyond ASCII
