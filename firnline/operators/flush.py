@@ -30,24 +30,29 @@ def _point(name: str) -> None:
         hook()
 
 
-def select(reader: Reader, force: bool, now: dt.datetime | None) -> tuple[DataFrame, int]:
-    """Change-index rows to flush, and how many they are."""
+def _count(index: DataFrame) -> tuple[int, int]:
+    """Rows, and tombstones among them."""
+    return tuple(index.agg(F.count("*"), F.count(F.when(F.col(OP) == DELETE, 1))).first())
+
+
+def select(reader: Reader, force: bool, now: dt.datetime | None) -> tuple[DataFrame, int, int, bool]:
+    """Change-index rows to flush, how many they are, tombstones among them, and whether they are all."""
     index, policy = reader.index(), reader.snapshot.options.policy
-    total = index.count()
+    total, gone = _count(index)
     if force:
-        deletes = index.where(F.col(OP) == DELETE)
-        n = deletes.count()
-        return (deletes, n) if 0 < n <= FORCE_TOMBSTONES_ONLY else (index, total)
+        if 0 < gone <= FORCE_TOMBSTONES_ONLY:
+            return index.where(F.col(OP) == DELETE), gone, gone, gone == total
+        return index, total, gone, True
     if isinstance(policy, RowLimit):
         rows, pool = policy.rows_to_flush(total), index
     else:
         pool = index.where(F.col(SEQ) < policy.cut(now or dt.datetime.now(dt.UTC)))
         rows = policy.rows_to_flush(pool.count())
     if not rows:
-        return index.limit(0), 0
+        return index.limit(0), 0, 0, False
     cut = pool.orderBy(SEQ).offset(rows - 1).limit(1).first()[SEQ]
     picked = pool.where(F.col(SEQ) <= cut)
-    return picked, picked.count()
+    return picked, *_count(picked), False
 
 
 def rows_of(reader: Reader, picked: DataFrame) -> DataFrame:
@@ -144,7 +149,7 @@ def flush(catalog: Catalog, force: bool = False, now: dt.datetime | None = None)
     if any(j["status"] == "running" and j["type"] == "flush" for j in snapshot.held["jobs"]):
         return {"ok": False, "status": "busy", "rows": 0}
     reader = Reader(catalog, snapshot)
-    picked, n = select(reader, force, now)
+    picked, n, gone, everything = select(reader, force, now)
     if not n:
         return {"ok": True, "status": "nothing_to_flush", "job_id": None, "rows": 0, "segments": 0}
     job = {"id": uuid.uuid4().hex, "type": "flush", "status": "running", "created_at": dt.datetime.now(dt.UTC).isoformat(), "rows": n, "error": None}
@@ -153,9 +158,11 @@ def flush(catalog: Catalog, force: bool = False, now: dt.datetime | None = None)
     snapshot = catalog.publish(draft, snapshot.version)
     try:
         batch = snapshot.held["next_batch"]
-        needed = cold_may_hold(snapshot, picked.where(F.col(OP) == DELETE))
-        rows = rows_of(reader, picked.where(F.col(OP) != DELETE).unionByName(needed))
-        count = rows.count()
+        count, live = n - gone, picked.where(F.col(OP) != DELETE)
+        if gone:
+            needed = cold_may_hold(snapshot, picked.where(F.col(OP) == DELETE))
+            count, live = count + needed.count(), live.unionByName(needed)
+        rows = rows_of(reader, live)
         segments = write(catalog, snapshot, rows, count, batch) if count else []
         _point("before_activate")
         draft = snapshot.draft()
@@ -163,7 +170,10 @@ def flush(catalog: Catalog, force: bool = False, now: dt.datetime | None = None)
         draft["next_batch"] = batch + 1
         # only the very (key, seq) pairs that were flushed leave: whatever changed since has a higher seq
         flushed = picked.select(*snapshot.pk, SEQ)
-        keep(catalog, draft, reader.hot().join(flushed, [*snapshot.pk, SEQ], "left_anti"), reader.index().join(flushed, [*snapshot.pk, SEQ], "left_anti"), snapshot.schema_version)
+        if everything and reader.hot().count() == n - gone:
+            draft["hot"], draft["index"] = [], []
+        else:
+            keep(catalog, draft, reader.hot().join(flushed, [*snapshot.pk, SEQ], "left_anti"), reader.index().join(flushed, [*snapshot.pk, SEQ], "left_anti"), snapshot.schema_version)
         _finish(draft, job["id"], "completed", None)
         catalog.publish(draft, snapshot.version)
     except Exception as e:
