@@ -27,14 +27,14 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 
 from .scratch import id_text, ranked
+from .words import SPACED, buffers, words
 
 LENGTH, END = 2048, 0
-#: Encoded words that a worker keeps, and the longest word that it keeps.
-KEPT_WORDS, KEPT_LETTERS = 300_000, 48
-#: Bytes of texts that are encoded together.
-RUN_BYTES = 1_000_000
+#: Encoded words that a worker keeps, and bytes of texts that are encoded together.
+KEPT_WORDS, RUN_BYTES = 1_500_000, 4_000_000
 
 STOPS = ".,"
+_CONTROLS = "\x1c\x1d\x1e\x1f"
 _ODD_SPACE = re.compile(r"[^\S \t\n\r\f\v]")
 
 
@@ -85,11 +85,12 @@ def ranks_of(path: str) -> dict[bytes, int] | None:
 
 
 class Coder:
-    """Token ids of texts as little-endian 32-bit bytes; words between white space are encoded once.
+    """Token ids of texts; each word between white space is encoded once.
 
-    That equals encoding the whole text where the tokenizer drops white space and never joins
+    That equals encoding the whole text where the tokenizer lower-cases, drops white space and never joins
     across it. Texts with white space beyond ASCII are encoded whole. Words of Latin letters are
     encoded by ranks where ``ranks_of`` shows that to be the same, as that is several times faster.
+    Known words are kept by 64-bit hash in sorted arrays, which take some 40 bytes a word.
     """
 
     def __init__(self, path: str, ranks: dict[bytes, int] | None = None):
@@ -98,67 +99,90 @@ class Coder:
 
         self.coder = Tokenizer.from_file(path)
         self.coder.encode_special_tokens = True
-        self.known: dict[str, bytes] = {}
         names = self.coder.get_vocab(with_added_tokens=True)
         self.ends = np.zeros(max(names.values()) + 1, bool)
         self.ends[[i for name, i in names.items() if name.endswith("</w>")]] = True
         self.stops = {p: self._whole(p) for p in STOPS}
+        self.keys, self.at, self.n = np.zeros(0, np.uint64), np.zeros(0, np.int64), np.zeros(0, np.int32)
+        self.pool, self.used = np.zeros(1 << 16, np.uint32), 0
         self.ranked = None
         if ranks:
             import tiktoken
 
             self.ranked = tiktoken.Encoding("words", pat_str="[^ ]+", mergeable_ranks=ranks, special_tokens={}).encode_ordinary
 
-    def _whole(self, text: str) -> bytes:
-        return np.array(self.coder.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
+    def _whole(self, text: str) -> np.ndarray:
+        return np.array(self.coder.encode(text, add_special_tokens=False).ids, np.uint32)
 
-    def _learn(self, parts: list[str]) -> dict[str, bytes]:
-        """Ids of words, those with a stop or comma at their end as the word and the sign."""
-        bare, rest = set(), []
-        for p in parts:
+    def _learn(self, parts: list[str]) -> list[np.ndarray]:
+        """Ids of each word; a word with a stop or comma at its end is the word and then the sign."""
+        out: list[np.ndarray] = [self.stops["."]] * len(parts)
+        bare, rest = [], []
+        for i, p in enumerate(parts):
             core = p[:-1] if p[-1] in STOPS else p
             if self.ranked and _PLAIN.fullmatch(core):
-                bare.add(core)
+                bare.append((i, core))
             else:
-                rest.append(p)
-        out: dict[str, bytes] = {}
-        fresh = [w for w in bare if w not in self.known]
-        for i in range(0, len(fresh), 20_000):
-            some = fresh[i : i + 20_000]
-            ids = np.array(self.ranked((_WORD_END + " ").join(some).lower() + _WORD_END), "<u4")
-            cuts = [0, *(4 * (np.flatnonzero(self.ends[ids]) + 1)).tolist()]
-            held = ids.tobytes()
-            out.update((w, held[a:z]) for w, a, z in zip(some, cuts[:-1], cuts[1:], strict=True))
-        for i in range(0, len(rest), 20_000):
-            some = rest[i : i + 20_000]
-            encoded = self.coder.encode(" ".join(some), add_special_tokens=False)
-            held = np.array(encoded.ids, "<u4").tobytes()
-            starts = np.fromiter((a for a, _ in encoded.offsets), np.int64, len(encoded.ids))
-            after = np.cumsum(np.fromiter(map(len, some), np.int64, len(some)) + 1)
-            cuts = [0, *(4 * np.searchsorted(starts, after)).tolist()]
-            out.update((w, held[a:z]) for w, a, z in zip(some, cuts[:-1], cuts[1:], strict=True))
-        for p in parts:
-            if p not in out:
-                out[p] = (out.get(p[:-1]) or self.known[p[:-1]]) + self.stops[p[-1]]
+                rest.append(i)
+        for a in range(0, len(bare), 20_000):
+            some = bare[a : a + 20_000]
+            ids = np.array(self.ranked((_WORD_END + " ").join([w for _, w in some]).lower() + _WORD_END), np.uint32)
+            for (i, core), part in zip(some, np.split(ids, np.flatnonzero(self.ends[ids])[:-1] + 1), strict=True):
+                out[i] = part if len(core) == len(parts[i]) else np.concatenate([part, self.stops[parts[i][-1]]])
+        for a in range(0, len(rest), 20_000):
+            some = rest[a : a + 20_000]
+            encoded = self.coder.encode(" ".join([parts[i] for i in some]), add_special_tokens=False)
+            starts = np.fromiter((x for x, _ in encoded.offsets), np.int64, len(encoded.ids))
+            after = np.cumsum(np.fromiter((len(parts[i]) for i in some), np.int64, len(some)) + 1)
+            for i, part in zip(some, np.split(np.array(encoded.ids, np.uint32), np.searchsorted(starts, after)[:-1]), strict=True):
+                out[i] = part
         return out
 
-    def ids(self, texts: list[str]) -> list[bytes]:
-        """Of several texts together, so that what is new in them is encoded at once."""
-        whole = {i: self._whole(t) for i, t in enumerate(texts) if _ODD_SPACE.search(t)}
-        parts = [[] if i in whole else t.split() for i, t in enumerate(texts)]
-        flat = [p for row in parts for p in row]
-        found = list(map(self.known.get, flat))
-        if None in found:
-            missing = list({p for p, ids in zip(flat, found, strict=True) if ids is None})
-            learned = self._learn(missing)
-            found = [learned[p] if ids is None else ids for p, ids in zip(flat, found, strict=True)]
-            if len(self.known) + len(learned) > KEPT_WORDS:
-                self.known.clear()
-            self.known.update((p, ids) for p, ids in learned.items() if len(p) <= KEPT_LETTERS)
-        out, at = [], 0
-        for i, row in enumerate(parts):
-            out.append(whole[i] if i in whole else b"".join(found[at : at + len(row)]))
-            at += len(row)
+    def _places(self, keys: np.ndarray, text_of) -> tuple[np.ndarray, np.ndarray]:
+        """Place in the pool and number of ids of each of some distinct words, given by sorted hashes; text_of(i) is a word's text."""
+        spot = np.minimum(np.searchsorted(self.keys, keys), max(len(self.keys) - 1, 0))
+        found = self.keys[spot] == keys if len(self.keys) else np.zeros(len(keys), bool)
+        missing = np.flatnonzero(~found)
+        if len(missing):
+            ids = self._learn([text_of(i) for i in missing.tolist()])
+            if len(self.keys) + len(missing) > KEPT_WORDS:  # start anew with what is in use
+                known = np.flatnonzero(found)
+                ids = [self.pool[self.at[s] : self.at[s] + self.n[s]].copy() for s in spot[known].tolist()] + ids
+                missing = np.concatenate([known, missing])
+                self.keys, self.at, self.n, self.used = self.keys[:0], self.at[:0], self.n[:0], 0
+            n = np.fromiter(map(len, ids), np.int32, len(ids))
+            flat = np.concatenate(ids) if ids else np.zeros(0, np.uint32)
+            if self.used + len(flat) > len(self.pool):
+                self.pool = np.concatenate([self.pool[: self.used], np.zeros(self.used + len(flat) + (1 << 16), np.uint32)])
+            self.pool[self.used : self.used + len(flat)] = flat
+            at = self.used + np.cumsum(n, dtype=np.int64) - n
+            self.used += len(flat)
+            order = np.argsort(merged := np.concatenate([self.keys, keys[missing]]), kind="stable")
+            self.keys, self.at, self.n = merged[order], np.concatenate([self.at, at])[order], np.concatenate([self.n, n])[order]
+            spot = np.searchsorted(self.keys, keys)
+        return self.at[spot], self.n[spot].astype(np.int64)
+
+    def ids(self, texts: pa.Array) -> list[np.ndarray]:
+        """Of several texts together, so that each word in them is looked up once."""
+        data, _ = buffers(texts)
+        runs = list(words(texts, SPACED))
+        join = lambda name, kind: np.concatenate([getattr(w, name) for w in runs] or [np.zeros(0, kind)])
+        start, length = join("start", np.int64), join("length", np.int64)
+        keys, first, each = np.unique(join("hash", np.uint64), return_index=True, return_inverse=True)
+        at, n = self._places(keys, lambda i: data[start[first[i]] : start[first[i]] + length[first[i]]].tobytes().decode())
+        counts = n[each]
+        ends = np.cumsum(counts)
+        flat = self.pool[np.arange(int(ends[-1]) if len(ends) else 0) + np.repeat(at[each] - ends + counts, counts)]
+        bounds, before = [0], 0
+        ends = np.concatenate([[0], ends])
+        for w in runs:
+            bounds += ends[w.bounds[1:] + before].tolist()
+            before += len(w.hash)
+        out = [flat[a:z] for a, z in zip(bounds[:-1], bounds[1:], strict=True)]
+        for i, text in enumerate(texts):
+            text = text.as_py() or ""
+            if (not text.isascii() or any(c in text for c in _CONTROLS)) and _ODD_SPACE.search(text):
+                out[i] = self._whole(text)
         return out
 
 
@@ -169,13 +193,13 @@ def _pieces(path: str, ranks: dict[bytes, int] | None, batches: Iterator[pa.Reco
     if path not in _coders:
         _coders[path] = Coder(path, ranks)
     coder = _coders[path]
-    end = np.array([END], "<u4").tobytes()
+    end = np.array([END], "<u4")
     kinds = (pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64())
     for whole in batches:
         for b in _runs(whole, RUN_BYTES):
             rows = []
-            for doc_id, ids in zip(b.column(0).to_pylist(), coder.ids(b.column(1).fill_null("").to_pylist()), strict=True):
-                ids += end
+            for doc_id, ids in zip(b.column(0).to_pylist(), coder.ids(b.column(1).fill_null("")), strict=True):
+                ids = np.concatenate([ids.astype("<u4"), end]).tobytes()
                 for piece, at in enumerate(range(0, len(ids), 4 * LENGTH)):
                     part = ids[at : at + 4 * LENGTH]
                     rows.append((doc_id, piece, at // 4, len(part) // 4, zlib.crc32(part)))

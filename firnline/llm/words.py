@@ -60,6 +60,8 @@ class Words:
     hash: np.ndarray  # uint64, one for each word
     bounds: np.ndarray  # text i has the words [bounds[i], bounds[i + 1])
     ending: np.ndarray  # uint64, a hash of each word's last three bytes
+    start: np.ndarray  # each word's place in the column's bytes, as ``buffers`` gives them
+    length: np.ndarray
 
     def of(self, i: int) -> np.ndarray:
         return self.hash[self.bounds[i] : self.bounds[i + 1]]
@@ -100,7 +102,7 @@ def words(texts: pa.Array, kind: np.ndarray) -> Iterator[Words]:
         begins[cut] = inside[cut]
         starts = np.flatnonzero(begins)
         if not len(starts):
-            yield Words(i, j - i, np.zeros(0, _U), np.zeros(j - i + 1, np.int64), np.zeros(0, _U))
+            yield Words(i, j - i, np.zeros(0, _U), np.zeros(j - i + 1, np.int64), np.zeros(0, _U), np.zeros(0, np.int64), np.zeros(0, np.int64))
             continue
         ends = inside.copy()
         ends[:-1] &= ~inside[1:] | begins[1:]
@@ -115,7 +117,7 @@ def words(texts: pa.Array, kind: np.ndarray) -> Iterator[Words]:
         values *= powers[np.minimum(place, len(powers) - 1)]
         values[~inside[:-1]] = 0
         hashes = mix(np.add.reduceat(values, starts) + lengths.astype(_U) * _BASE)
-        yield Words(i, j - i, hashes, np.searchsorted(starts, at), mix(ending))
+        yield Words(i, j - i, hashes, np.searchsorted(starts, at), mix(ending), starts + bounds[i], lengths)
 
 
 def _since(starts: np.ndarray, n: int) -> np.ndarray:
