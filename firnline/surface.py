@@ -134,7 +134,7 @@ SURFACE: dict[str, tuple[str, str]] = {
     ),
     "fn_array": (
         "SELECT o_orderkey, CAST(size(a) AS BIGINT) AS n, element_at(a, 2) AS second, CAST(array_position(a, o_orderstatus) AS BIGINT) AS at, array_contains(a, 'U') AS has, p AS pos, x AS item FROM (SELECT o_orderkey, o_orderstatus, array(o_orderpriority, o_orderstatus) AS a FROM orders_t WHERE o_orderkey < 500) LATERAL VIEW posexplode(a) t AS p, x",
-        "SELECT o_orderkey, len(a) AS n, a[2] AS second, list_position(a, o_orderstatus) AS at, list_contains(a, 'U') AS has, unnest([0, 1]) AS pos, unnest(a) AS item FROM (SELECT o_orderkey, o_orderstatus, [o_orderpriority, o_orderstatus] AS a FROM orders_t WHERE o_orderkey < 500)",
+        "SELECT o_orderkey, len(a) AS n, a[2] AS second, CAST(list_position(a, o_orderstatus) AS BIGINT) AS at, list_contains(a, 'U') AS has, unnest([0, 1]) AS pos, unnest(a) AS item FROM (SELECT o_orderkey, o_orderstatus, [o_orderpriority, o_orderstatus] AS a FROM orders_t WHERE o_orderkey < 500)",
     ),
 }
 
