@@ -10,13 +10,12 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from firnline.llm import decontamination, jaccard_join, packing, quality, secrets
-from firnline.llm.scratch import settle, small, table
+from firnline.llm.scratch import settle, table
 
 
 def keep_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the quality classifier accepts. It learns from the labelled ones outside its held-out fold."""
-    rejected = settle(quality.score(docs, table(spark, sf_dir, "labels")).where("predicted = 0").select("doc_id").distinct(), "rejected")
-    return docs.join(small(rejected), "doc_id", "left_anti").select(*docs.columns)
+    return quality.accepted(docs, table(spark, sf_dir, "labels"))
 
 
 def keep_one_of_alike(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -19,8 +19,9 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, FloatType, StructField, StructType
 
-from .scratch import id_text, settle
+from .scratch import bound_batches, free_names, id_text, settle
 from .words import SPACED, buffers, grams, words
 
 #: Weights of the pooled and of the diagonal covariance, and of the log-density difference in the score.
@@ -105,10 +106,11 @@ def statistics(texts: pa.Array) -> np.ndarray:
     return out
 
 
-def _measured(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _measured(at: int, names: list[str], batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """As many columns as ``names`` has before its last, and there the statistics of the texts of column ``at``."""
     for b in batches:
-        x = statistics(b.column(1)).astype(np.float32)
-        yield pa.RecordBatch.from_arrays([b.column(0), pa.FixedSizeListArray.from_arrays(pa.array(x.ravel()), DIMS).cast(pa.list_(pa.float32()))], names=["doc_id", "x"])
+        x = statistics(b.column(at)).astype(np.float32)
+        yield pa.RecordBatch.from_arrays([*b.columns[: len(names) - 1], pa.FixedSizeListArray.from_arrays(pa.array(x.ravel()), DIMS).cast(pa.list_(pa.float32()))], names=names)
 
 
 def _sums(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -180,7 +182,25 @@ def _scored(model: Discriminant, batches: Iterator[pa.RecordBatch]) -> Iterator[
 
 def score(docs: DataFrame, labels: DataFrame, column: str = "quality") -> DataFrame:
     """(doc_id, held_out, score, predicted) of every row of ``docs``."""
-    measured = settle(id_text(docs).mapInArrow(_measured, "doc_id long, x array<float>"), "statistics")
+    measured = settle(id_text(docs).mapInArrow(lambda it: _measured(1, ["doc_id", "x"], it), "doc_id long, x array<float>"), "statistics")
     model = fit(measured, labels, column)
     scored = measured.mapInArrow(lambda it: _scored(model, it), "doc_id long, score double")
     return scored.select("doc_id", held_out().alias("held_out"), "score", (F.col("score") >= PREDICTED_FROM).cast("int").alias("predicted"))
+
+
+def _accepted(model: Discriminant, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for b in batches:
+        x = b.columns[-1].flatten().to_numpy().reshape(-1, DIMS).astype(float)
+        rows = pa.RecordBatch.from_arrays(b.columns[:-1], names=b.schema.names[:-1])
+        yield rows.filter(pa.array(model.score(x) >= PREDICTED_FROM))
+
+
+def accepted(docs: DataFrame, labels: DataFrame, column: str = "quality") -> DataFrame:
+    """The rows of ``docs`` that ``score`` predicts as 1. Each row is judged by its own text, whatever its id."""
+    bound_batches(docs.sparkSession)
+    names = [*docs.columns, *free_names(docs, "_x")]
+    schema = StructType([*docs.schema, StructField(names[-1], ArrayType(FloatType()))])
+    at = docs.columns.index("text")
+    measured = settle(docs.mapInArrow(lambda it: _measured(at, names, it), schema), "statistics")
+    model = fit(measured.select(F.col("doc_id").cast("long").alias("doc_id"), F.col(names[-1]).alias("x")), labels, column)
+    return measured.mapInArrow(lambda it: _accepted(model, it), docs.schema)

@@ -23,8 +23,9 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructField, StructType, _parse_datatype_string
 
-from .scratch import free_names, id_text, settle, small
+from .scratch import bound_batches, free_names, id_text, settle
 
 KINDS = ("assign", "access", "hex", "random")
 ASSIGN = re.compile(r"""(?ai)(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""")
@@ -53,7 +54,8 @@ EVENNESS = 0.055
 #: Lower bounds of the length classes; steps of -log10 p in the tables of each class.
 CLASSES, STEP, STEPS = (20, 32, 64, 128), 0.1, 400
 
-SCHEMA = "doc_id long, n_assign long, n_access long, n_hex long, base array<struct<kind:int,start:int,end:int>>, odd array<struct<start:int,end:int,class:int,step:int>>"
+#: Types of the columns of base spans and of suspects.
+FOUND = ("array<struct<kind:int,start:int,end:int>>", "array<struct<start:int,end:int,class:int,step:int>>")
 
 
 def known(text: str) -> list[tuple[int, int, int]]:
@@ -122,19 +124,17 @@ def suspects(text: str, base: list[tuple[int, int, int]]) -> list[tuple[int, int
     return out
 
 
-def _scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _scan(at: int, kept: list[int], names: list[str], batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     span = pa.list_(pa.struct([("kind", pa.int32()), ("start", pa.int32()), ("end", pa.int32())]))
     odd = pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32()), ("class", pa.int32()), ("step", pa.int32())]))
     for batch in batches:
-        n, bases, odds = np.zeros((3, batch.num_rows), np.int64), [], []
-        for i, text in enumerate(batch.column(1)):
+        bases, odds = [], []
+        for text in batch.column(at):
             text = text.as_py() or ""
             base = known(text)
-            for kind, _, _ in base:
-                n[kind, i] += 1
             bases.append([{"kind": k, "start": a, "end": b} for k, a, b in base])
             odds.append([{"start": a, "end": b, "class": c, "step": s} for a, b, c, s in suspects(text, base)])
-        yield pa.RecordBatch.from_arrays([batch.column(0), *map(pa.array, n), pa.array(bases, span), pa.array(odds, odd)], names=["doc_id", "n_assign", "n_access", "n_hex", "base", "odd"])
+        yield pa.RecordBatch.from_arrays([*map(batch.column, kept), pa.array(bases, span), pa.array(odds, odd)], names=names)
 
 
 def thresholds(counts: list[tuple[int, int, int]]) -> list[int]:
@@ -154,19 +154,29 @@ def thresholds(counts: list[tuple[int, int, int]]) -> list[int]:
     return least
 
 
-def find(docs: DataFrame) -> DataFrame:
-    """(doc_id, n_assign, n_access, n_hex, base, spans); spans are structs (kind, start, end) in code points.
+def scan(docs: DataFrame, keep: list[str]) -> DataFrame:
+    """The columns ``keep`` of every row of ``docs``, and its base spans and all spans in two more at the end.
 
-    The first pass keeps each text's spans and the steps of its suspects; only a table of
-    classes by steps, at most 4 x 401 numbers, is brought together for the second.
+    The first pass writes each row with its spans and the steps of its suspects; only a table of
+    classes by steps, at most 4 x 401 numbers, is brought together for the second. No rows are matched.
     """
-    held = settle(id_text(docs).mapInArrow(_scan, SCHEMA), "spans")
-    counted = held.select(F.explode("odd").alias("o")).groupBy("o.class", "o.step").agg(F.count("*").alias("n")).collect()
+    base, odd, spans = free_names(docs, "_base", "_odd", "_spans")
+    at, kept, names = docs.columns.index("text"), [docs.columns.index(c) for c in keep], [*keep, base, odd]
+    schema = StructType([*(docs.schema[i] for i in kept), *map(StructField, (base, odd), map(_parse_datatype_string, FOUND))])
+    held = settle(docs.mapInArrow(lambda it: _scan(at, kept, names, it), schema), "spans")
+    counted = held.select(F.explode(odd).alias("o")).groupBy("o.class", "o.step").agg(F.count("*").alias("n")).collect()
     least = F.array(*map(F.lit, thresholds([(r["class"], r["step"], r["n"]) for r in counted])))
-    kept = F.filter("odd", lambda o: o["step"] >= F.element_at(least, o["class"] + 1))
-    more = F.transform(kept, lambda o: F.struct(F.lit(3).alias("kind"), o["start"].alias("start"), o["end"].alias("end")))
-    ordered = F.array_sort(F.concat("base", more), lambda a, b: F.coalesce(F.nullif(a["start"] - b["start"], F.lit(0)), a["kind"] - b["kind"]))
-    return held.select("doc_id", "n_assign", "n_access", "n_hex", "base", ordered.alias("spans"))
+    real = F.filter(odd, lambda o: o["step"] >= F.element_at(least, o["class"] + 1))
+    more = F.transform(real, lambda o: F.struct(F.lit(3).alias("kind"), o["start"].alias("start"), o["end"].alias("end")))
+    ordered = F.array_sort(F.concat(base, more), lambda a, b: F.coalesce(F.nullif(a["start"] - b["start"], F.lit(0)), a["kind"] - b["kind"]))
+    return held.select(*keep, base, ordered.alias(spans))
+
+
+def find(docs: DataFrame) -> DataFrame:
+    """(doc_id, n_assign, n_access, n_hex, base, spans); spans are structs (kind, start, end) in code points."""
+    found = scan(id_text(docs), ["doc_id"])
+    count = lambda kind: F.size(F.filter("_base", lambda s: s["kind"] == kind)).cast("long")
+    return found.select("doc_id", count(0).alias("n_assign"), count(1).alias("n_access"), count(2).alias("n_hex"), F.col("_base").alias("base"), F.col("_spans").alias("spans"))
 
 
 def joined(spans: str):
@@ -195,8 +205,8 @@ def _masked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def mask(docs: DataFrame) -> DataFrame:
     """``docs`` with each span replaced by ``[SECRET]``; every row stays, other columns stay as they are.
 
-    Rows are matched by doc_id, which is a key of ``docs``.
+    A row's spans go with it, so null, repeated and equal ids are all right.
     """
-    (name,) = free_names(docs, "_spans")
-    spans = find(docs).where(F.size("spans") > 0).select("doc_id", F.col("spans").alias(name))
-    return docs.join(small(spans), "doc_id", "left").select(*docs.columns, name).mapInArrow(_masked, docs.schema)
+    bound_batches(docs.sparkSession)
+    found = scan(docs, docs.columns)
+    return found.drop(found.columns[-2]).mapInArrow(_masked, docs.schema)

@@ -376,6 +376,12 @@ def test_secrets(spark):
     assert len(masked) == len(texts) and masked[2]["text"].startswith("é [SECRET] and [SECRET]' passwd=short") and masked[0]["text"] is None and masked[2]["_spans"] == 1
 
 
+def test_masking_needs_no_ids(spark):
+    texts = [(None, "password=hunter2hunter2"), (None, "plain"), (1, "token: abcdefghij x"), (1, "token: abcdefghij x"), (1, "xx token: abcdefghij"), (2, None)]
+    docs = spark.createDataFrame(texts, "doc_id long, text string")
+    assert sorted(map(repr, map(tuple, secrets.mask(docs).collect()))) == sorted(map(repr, [(None, "[SECRET]"), (None, "plain"), (1, "[SECRET] x"), (1, "[SECRET] x"), (1, "xx [SECRET]"), (2, None)]))
+
+
 def test_battery_accepts_random_and_refuses_patterned_strings():
     r = random.Random(1)
     hexes = [min(secrets.battery("".join(r.choices("0123456789abcdef", k=64)), "0123456789abcdef")[:3]) for _ in range(400)]
@@ -408,6 +414,16 @@ def test_quality_learns_outside_its_fold(spark):
     assert {x["score"] for x in none} == {0.5}
 
 
+def test_acceptance_needs_no_ids(spark, tmp_path):
+    import corpus_pipeline
+
+    good, bad = "The name of the rose and the end of the day. " * 4, "ZK!! | QX!! | " * 12
+    spark.createDataFrame([(i, i % 2) for i in range(200)], "doc_id long, quality int").write.parquet(f"{tmp_path}/labels.parquet")
+    docs = spark.createDataFrame([(i, f"{[bad, good][i % 2]}{i}") for i in range(200)] + [(None, bad), (None, good), (7, bad), (7, good), (7, good)], "doc_id long, text string")
+    kept = [tuple(x) for x in corpus_pipeline.keep_quality(spark, docs, str(tmp_path)).collect()]
+    assert len(kept) == 100 + 3 and sum(t == good for _, t in kept) == 3 and not any(t.startswith(bad) for _, t in kept)
+
+
 # 8
 
 def test_differencing():
