@@ -392,6 +392,25 @@ def test_battery_accepts_random_and_refuses_patterned_strings():
     assert secrets.thresholds([(1, 50, 10), (1, 0, 90)])[1] <= 50 < secrets.thresholds([(1, 5, 10), (1, 0, 90)])[1]
 
 
+@pytest.mark.parametrize("name,alphabet", secrets.ENCODINGS)
+@pytest.mark.parametrize("n", [20, 24, 32, 40, 64])
+def test_random_keys_of_every_encoding_are_unlike_ordinary_text(name, alphabet, n):
+    r = random.Random(n)
+    found = 0
+    for _ in range(200):
+        s = "".join(r.choices(alphabet, k=n))
+        held = secrets.encoding(s)
+        if held:
+            *tests, ordinary = secrets.battery(s, held)
+            found += min(tests) >= secrets.LEVEL and ordinary <= 1e-3
+    assert found >= 180
+
+
+def test_ordinary_strings_have_large_p_values():
+    for s in ("internationalization2documentation", "GET_USER_ACCOUNT_BY_SESSION_TOKEN_ID", "AbstractSingletonProxyFactoryBean2", "path/to/some/file/name/in/the/library", "00000000000000001234", "12345678901234567890"):
+        assert secrets.battery(s, secrets.encoding(s))[3] > 0.5
+
+
 # 7
 
 def test_quality_learns_outside_its_fold(spark):
