@@ -46,6 +46,9 @@ ENCODINGS = (
     ("base64", string.digits + string.ascii_letters + "+/"),
     ("base64url", string.digits + string.ascii_letters + "-_"),
 )
+PIECE = re.compile(r"[A-Za-z0-9+/_-]+=*")
+#: Runs of each alphabet.
+RUNS = [re.compile(f"[{re.escape(a)}]+") for _, a in ENCODINGS]
 #: Each test alone must not refuse randomness at this level.
 LEVEL = 0.005
 #: Share of false strings among the spans that the battery adds.
@@ -161,20 +164,49 @@ def battery(s: str, alphabet: str) -> tuple[float, float, float, float]:
     return uniform, runs_p, serial_p, ordinary(s.rstrip("="), k)
 
 
+def pieces(text: str, base: list[tuple[int, int, int]]) -> Iterator[tuple[int, int]]:
+    """(start, end) of runs of key-like characters beside ``base``, cut after each '=' that more characters follow."""
+    for m in CANDIDATE.finditer(text):
+        at = m.start()
+        for _, a, b in [*(s for s in base if s[1] < m.end() and m.start() < s[2]), (0, m.end(), m.end())]:
+            for p in PIECE.finditer(text, at, max(at, a)):
+                if p.end() - p.start() >= CLASSES[0]:
+                    yield p.span()
+            at = max(at, b)
+
+
+def runs(piece: str) -> list[tuple[int, int]]:
+    """(start, end) of the maximal runs of each alphabet in a piece that are long enough; one that reaches its end has the '=' there, too."""
+    body = len(piece.rstrip("="))
+    found = {m.span() for r in RUNS for m in r.finditer(piece, 0, body)}
+    padded = ((a, len(piece) if b == body else b) for a, b in found)
+    return sorted((a, b) for a, b in padded if b - a >= CLASSES[0])
+
+
 def suspects(text: str, base: list[tuple[int, int, int]]) -> list[tuple[int, int, int, int]]:
-    """(start, end, class, step) of strings outside ``base`` that pass the battery."""
+    """(start, end, class, step) of strings outside ``base`` that pass the battery.
+
+    Of runs that overlap, the one that ordinary text is least likely to have stays, then the longer one;
+    a p-value is multiplied by the number of runs that were tried in its piece.
+    """
     out = []
-    for m in CANDIDATE.finditer(text):
-        if any(a < m.end() and m.start() < b for _, a, b in base):
-            continue
-        alphabet = encoding(m[0])
-        if alphabet is None:
-            continue
-        *tests, ordinary = battery(m[0], alphabet)
-        if min(tests) >= LEVEL:
-            kind = sum(m.end() - m.start() >= c for c in CLASSES) - 1
-            out.append((m.start(), m.end(), kind, min(int(-math.log10(max(ordinary, 1e-300)) / STEP), STEPS)))
-    return out
+    for start, end in pieces(text, base):
+        tried, passed = runs(text[start:end]), []
+        for a, b in tried:
+            s = text[start + a : start + b]
+            alphabet = encoding(s)
+            if alphabet is None:
+                continue
+            *tests, odd = battery(s, alphabet)
+            if min(tests) >= LEVEL:
+                passed.append((min(odd * len(tried), 1.0), a - b, a, b))
+        taken: list[tuple[int, int]] = []
+        for odd, _, a, b in sorted(passed):
+            if all(b <= x or y <= a for x, y in taken):
+                taken.append((a, b))
+                kind = sum(b - a >= c for c in CLASSES) - 1
+                out.append((start + a, start + b, kind, min(int(-math.log10(max(odd, 1e-300)) / STEP), STEPS)))
+    return sorted(out)
 
 
 def _scan(at: int, kept: list[int], names: list[str], batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
