@@ -158,20 +158,23 @@ def tensor_column(rows: pa.Table) -> pa.Table:
     return rows.set_column(rows.schema.get_field_index("tensor"), pa.field("tensor", kind), held)
 
 
-def describe(tensor: np.ndarray, segments: list, frames: int) -> str:
-    """A row's features as one short line of JSON."""
-    mean = np.asarray(tensor, np.float64).reshape(SLICES, BANDS).mean(axis=0)
-    return json.dumps({"frames": frames, "mel": [round(float(v), 2) + 0.0 for v in mean], "segments": [[round(s["start"], 3), round(s["end"], 3)] for s in segments]}, separators=(",", ":"))
+def describe(tensor: np.ndarray, spans: list, segments: list, frames: int) -> str:
+    """A row's features as one short line of JSON: the bands' means, the slices' bounds, and a digest of the whole tensor in hundredths."""
+    mean = np.asarray(tensor, np.float64).mean(axis=0)
+    whole = np.rint(np.asarray(tensor, np.float64) * 100).astype("<i4").tobytes()
+    line = {"frames": frames, "mel": [round(float(v), 2) + 0.0 for v in mean], "slices": [round(v, 3) for v in spans], "tensor": hashlib.sha256(whole).hexdigest()[:32]}
+    return json.dumps({**line, "segments": [[round(s["start"], 3), round(s["end"], 3)] for s in segments]}, separators=(",", ":"))
 
 
 def _described(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for b in batches:
-        rows = b.select(["tensor", "segments", "frames"]).to_pylist()
-        line = pa.array([describe(r["tensor"], r["segments"], r["frames"]) for r in rows], pa.string())
+        tensors = [t for c in tensor_column(pa.Table.from_batches([b])).column("tensor").chunks for t in c.to_numpy_ndarray()]
+        rows = b.select(["slice_spans", "segments", "frames"]).to_pylist()
+        line = pa.array([describe(t, r["slice_spans"], r["segments"], r["frames"]) for t, r in zip(tensors, rows, strict=True)], pa.string())
         yield pa.RecordBatch.from_arrays([*(b.column(c) for c in range(7)), line], names=[*b.schema.names[:7], "feature"])
 
 
 def digests(rows: DataFrame) -> DataFrame:
     """The rows of ``audio_features`` with the file replaced by its length and SHA-256, and the features by one line."""
-    kept = rows.selectExpr("doc_id", "n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "cast(octet_length(media) AS long) AS media_bytes", "sha2(media, 256) AS media_sha256", "tensor", "segments", "frames")
+    kept = rows.selectExpr("doc_id", "n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "cast(octet_length(media) AS long) AS media_bytes", "sha2(media, 256) AS media_sha256", "tensor", "slice_spans", "segments", "frames")
     return kept.mapInArrow(_described, "doc_id long, n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string")

@@ -509,6 +509,14 @@ def test_media_round_trip_and_features(spark, texts):
     assert table.column("tensor").type.shape == [16, 24]
 
 
+def test_feature_line_follows_the_whole_tensor_and_its_spans(spark, texts):
+    row = media.audio_features(docs_of(spark, texts[:1])).first()
+    line = json.loads(media.digests(media.audio_features(docs_of(spark, texts[:1]))).first()["feature"])
+    assert line["slices"] == [round(v, 3) for v in row["slice_spans"]]
+    tensor = np.array(row["tensor"], np.float32).reshape(16, 24)
+    assert line["tensor"] == json.loads(media.describe(tensor, row["slice_spans"], [], 1))["tensor"] != json.loads(media.describe(tensor[::-1], row["slice_spans"], [], 1))["tensor"]
+
+
 def test_resampling_keeps_a_tone():
     t = np.arange(8000) / 8000
     y = media.resample(np.sin(2 * np.pi * 200 * t).astype(np.float32))
