@@ -1,5 +1,8 @@
 """Words of Arrow text columns as 64-bit hashes, by whole-buffer numpy operations.
 
+A word's hash is a mixed sum of values that look random, one for each byte at its place, so that no
+family of words (long or periodic ones, say) is sure to collide.
+
 Nothing here loops over characters or words in Python. A text column is taken in
 blocks of whole texts of about ``BLOCK`` bytes, so that temporary arrays stay small;
 one longer text makes a block of its own.
@@ -39,18 +42,6 @@ SPACED[[9, 10, 11, 12, 13, 32]] = False
 ALNUM = np.zeros(256, bool)
 ALNUM[48:58] = ALNUM[65:91] = ALNUM[97:123] = ALNUM[128:] = True
 
-_powers = np.ones(1, _U)
-
-
-def _power_table(n: int) -> np.ndarray:
-    global _powers
-    if len(_powers) < n:
-        grown = np.full(max(n, 64), _BASE | _U(1), _U)
-        grown[0] = 1
-        _powers = np.multiply.accumulate(grown)
-    return _powers
-
-
 @dataclass
 class Words:
     """Words of the texts [first, first + texts) of a column, in order."""
@@ -111,10 +102,8 @@ def words(texts: pa.Array, kind: np.ndarray) -> Iterator[Words]:
         ending = _BYTE[body[final]]
         for back in (1, 2):
             ending = ending * _BASE + np.where(lengths > back, _BYTE[body[np.maximum(final - back, 0)]], _U(0))
-        values = _BYTE[body]
         place = np.arange(len(body)) - _since(starts, len(body))
-        powers = _power_table(int(lengths.max()) + 1)
-        values *= powers[np.minimum(place, len(powers) - 1)]
+        values = mix(_BYTE[body] + place.view(_U) * _BASE)  # a value of its own for each byte at each place
         values[~inside[:-1]] = 0
         hashes = mix(np.add.reduceat(values, starts) + lengths.astype(_U) * _BASE)
         yield Words(i, j - i, hashes, np.searchsorted(starts, at), mix(ending), starts + bounds[i], lengths)

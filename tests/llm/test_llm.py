@@ -246,28 +246,96 @@ def test_suffix_tree_base_and_scores(spark, texts):
     assert sum(r["score"] for r in held) > sum(r["base_score"] for r in held)
 
 
-def test_tree_uses_the_longest_kept_suffix():
-    r = np.random.default_rng(1)
-    line = [0, 0]
-    for _ in range(4000):
-        line.append(int(r.choice(4, p=[[0.7, 0.1, 0.1, 0.1], [0.1, 0.7, 0.1, 0.1], [0.05, 0.05, 0.85, 0.05], [0.25] * 4][line[-2]])))
-    contexts = {}
+def tree_chances(root, lines, held):
+    """Every place's chance by plain dictionaries: (text, place) -> probability, contexts as the tree has them; and the kept nodes."""
+    symbol = lambda line, i: int(root.symbols(line[i : i + 1])[0]) if i < len(line) else suffix_tree.END
+    place = {}
+    for t, line in enumerate(lines):
+        for i in range(1, len(line) + 1):
+            before = [symbol(line, i - d) if i >= d else suffix_tree.BEFORE for d in (1, 2, 3)]
+            shortest = int(root.contexts(line[i - 1 : i], *(np.array([x], np.uint32) for x in before))[0])
+            place[t, i] = [(shortest,), (shortest, before[1]), (shortest, *before[1:])], symbol(line, i)
+    seen, next_ = collections.Counter(), collections.Counter()
+    for (t, _), (contexts, s) in place.items():
+        for c in contexts if not held[t] else []:
+            seen[c] += 1
+            next_[c, s] += 1
+    p = {at: float(root.p(np.array([s], np.uint32))[0]) for at, (_, s) in place.items()}
+    kept = {}
     for d in range(3):
-        held = collections.defaultdict(collections.Counter)
-        for i in range(2, len(line)):
-            held[tuple(line[i - d : i])][line[i]] += 1
-        contexts |= {c: (np.array(list(n)), np.array(list(n.values()))) for c, n in held.items()}
-    tree = suffix_tree.Tree(4, contexts)
-    assert any(len(c) == 2 for c in tree.kept)
-    assert np.allclose((10.0 ** tree.logs.astype(float)).sum(axis=1), 1, atol=1e-4)
-    number = {c: i for i, c in enumerate(tree.kept)}
-    flat = np.array(line)
-    got = tree.score(flat, np.arange(2, len(line)))
-    for i in range(2, 60):
-        c = tuple(line[i - 2 : i])
-        while c not in number:
-            c = c[1:]
-        assert got[i - 2] == tree.logs[number[c], line[i]]
+        gain = collections.Counter()
+        for (t, i), (contexts, s) in place.items():
+            c = contexts[d]
+            if not held[t] and seen[c] >= 2:
+                gain[c] += math.log((next_[c, s] - 1 + suffix_tree.WEIGHT * p[t, i]) / (seen[c] - 1 + suffix_tree.WEIGHT) / p[t, i])
+        parents = dict(p)
+        for (t, i), (contexts, s) in place.items():
+            c = contexts[d]
+            if seen[c] >= 2 and gain[c] >= suffix_tree.GAIN:
+                p[t, i] = (next_[c, s] + suffix_tree.WEIGHT * parents[t, i]) / (seen[c] + suffix_tree.WEIGHT)
+                kept[c] = seen[c]
+    return p, kept
+
+
+@pytest.mark.parametrize(("places", "chunk"), [(2_000_000, 1_000_000), (300, 200)])
+def test_tree_scores_match_plain_dictionaries(spark, monkeypatch, texts, places, chunk):
+    """Also where the tree is cut into many partitions, frequent words are split into classes, and texts into many chunks."""
+    monkeypatch.setattr(suffix_tree, "PLACES", places)
+    monkeypatch.setattr(suffix_tree, "CHUNK", chunk)
+    monkeypatch.setattr(suffix_tree, "FREQUENT", 2e-3)  # so that there are rare words
+    texts = texts * 2
+    docs = docs_of(spark, texts).repartition(3)
+    vocabulary = docs.select("doc_id", "text").coalesce(1).mapInArrow(suffix_tree._count_words, "key long, n long")
+    root = suffix_tree.Root.of(vocabulary)
+    assert places > 1000 or root.parts > 5 and root.crowded.any()
+    lines = [np.concatenate([suffix_tree.word_keys(w) for w in words.words(pa.array([t or ""]), words.SPACED)]) for t in texts]
+    held = [suffix_tree.is_held_out(i) for i in range(len(texts))]
+    p, kept = tree_chances(root, lines, held)
+    assert {len(c) for c in kept} == {1, 2, 3}
+    want = collections.Counter()
+    for t, line in enumerate(lines):
+        first = root.symbols(line[:1]) if len(line) else np.array([suffix_tree.END], np.uint32)
+        want[t] += math.log10(root.p(first)[0])
+    for (t, _), x in p.items():
+        want[t] += math.log10(x)
+    for r in suffix_tree.score(docs).collect():
+        assert r["score"] == pytest.approx(want[r["doc_id"]], abs=2e-4, rel=1e-5)
+
+
+def test_every_distribution_of_the_tree_sums_to_one(spark, monkeypatch, texts):
+    """Over the closed vocabulary: known words, the end, and an unseen word for each class."""
+    monkeypatch.setattr(suffix_tree, "FREQUENT", 2e-3)
+    docs = docs_of(spark, texts)
+    vocabulary = docs.select("doc_id", "text").coalesce(1).mapInArrow(suffix_tree._count_words, "key long, n long")
+    root = suffix_tree.Root.of(vocabulary)
+    keys = np.array([r["key"] for r in vocabulary.collect()], np.int64).view(np.uint64)
+    keys = keys[keys != suffix_tree.END_WORD]
+    unseen = np.array([c | 0x5A5A5A5A5A << 20 for c in range(suffix_tree.CLASSES)], np.uint64)
+    all_symbols = np.concatenate([root.symbols(np.concatenate([keys, unseen])), np.array([suffix_tree.END], np.uint32)])
+    assert len(set(all_symbols.tolist())) == len(all_symbols) == len(keys) + suffix_tree.CLASSES + 1
+    assert root.p(all_symbols).sum() == pytest.approx(1)
+    r, n = np.random.default_rng(3), 4000
+    two, three = (r.integers(0, 3, n).astype(np.uint32) for _ in range(2))
+    symbol = r.choice(all_symbols, n)
+    for c in ((two == 0) & (three == 1), two == 1):
+        symbol[c] = r.choice(all_symbols[:3], c.sum())
+    contexts = np.full(n, 77, np.uint64)
+    for a in range(3):
+        for b in range(3):
+            many = len(all_symbols)
+            asked = [np.concatenate([x, y]) for x, y in ((contexts, np.full(many, 77, np.uint64)), (two, np.full(many, a, np.uint32)), (three, np.full(many, b, np.uint32)), (symbol, all_symbols), (np.ones(n, np.uint32), np.zeros(many, np.uint32)))]
+            assert suffix_tree.chances(root, *asked)[n:].sum() == pytest.approx(1)
+
+
+def test_texts_that_occur_twice_score_better(spark):
+    r = random.Random(2)
+    vocabulary = ["".join(r.choices("abcdefgh", k=5)) for _ in range(3000)]
+    prose = lambda: " ".join(r.choices(vocabulary, k=120))
+    once, twice = [prose() for _ in range(150)], [prose() for _ in range(20)]
+    rows = suffix_tree.score(docs_of(spark, once + twice + twice)).where("NOT held_out").collect()
+    a = [r["score"] - r["base_score"] for r in rows if r["doc_id"] < 150]
+    b = [r["score"] - r["base_score"] for r in rows if r["doc_id"] >= 150]
+    assert np.median(b) > max(a)
 
 
 def test_scoring_without_training_rows(spark):
