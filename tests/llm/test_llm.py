@@ -299,7 +299,7 @@ def test_tree_scores_match_plain_dictionaries(spark, monkeypatch, texts, places,
     for (t, _), x in p.items():
         want[t] += math.log10(x)
     for r in suffix_tree.score(docs).collect():
-        assert r["score"] == pytest.approx(want[r["doc_id"]], abs=2e-4, rel=1e-5)
+        assert r["score"] == pytest.approx(want[r["doc_id"]], rel=5e-4)  # answers have eleven bits
 
 
 def test_every_distribution_of_the_tree_sums_to_one(spark, monkeypatch, texts):
