@@ -5,16 +5,17 @@ tested for randomness under the encoding that their characters suggest: chi-squa
 uniformity of the alphabet, Wald-Wolfowitz runs, and lag-1 serial correlation. A string that
 all three leave standing is held against the hypothesis that it is ordinary: a chain of words,
 identifier parts and numbers. The likelihood of that, over the one of a random string, bounds
-the chance of such a ratio in ordinary text and is its p-value. These are combined over the whole table by Benjamini-Hochberg steps
-within classes of length, as short strings carry little evidence.
+the chance of such a ratio in ordinary text and is its p-value; one that a test refuses has a p-value of 1. These are combined over the whole
+table by Benjamini-Hochberg steps within classes of length, as short strings carry little evidence; every string that was tried counts as a hypothesis.
 
 Nulls and empty texts have no spans. Each row is judged for itself, so repeated rows and
-equal texts get equal spans. Extra columns are dropped; an empty table gives no rows.
+equal texts get equal spans; of ties the longer string stays, then the first. Extra columns are dropped; an empty table gives no rows.
+Very long texts are scanned whole, in time that grows with their length.
 """
 
 from __future__ import annotations
 
-import hashlib
+import bisect
 import math
 import re
 import string
@@ -166,13 +167,15 @@ def battery(s: str, alphabet: str) -> tuple[float, float, float, float]:
 
 def pieces(text: str, base: list[tuple[int, int, int]]) -> Iterator[tuple[int, int]]:
     """(start, end) of runs of key-like characters beside ``base``, cut after each '=' that more characters follow."""
+    i = done = 0  # spans before the i-th end before the candidate, as none of them reaches beyond ``done``
     for m in CANDIDATE.finditer(text):
-        at = m.start()
-        for _, a, b in [*(s for s in base if s[1] < m.end() and m.start() < s[2]), (0, m.end(), m.end())]:
-            for p in PIECE.finditer(text, at, max(at, a)):
-                if p.end() - p.start() >= CLASSES[0]:
-                    yield p.span()
-            at = max(at, b)
+        at = max(m.start(), min(done, m.end()))
+        while i < len(base) and base[i][1] < m.end():
+            _, a, b = base[i]
+            yield from (p.span() for p in PIECE.finditer(text, at, max(at, a)) if p.end() - p.start() >= CLASSES[0])
+            done = max(done, b)
+            at, i = max(at, min(b, m.end())), i + 1
+        yield from (p.span() for p in PIECE.finditer(text, at, m.end()) if p.end() - p.start() >= CLASSES[0])
 
 
 def runs(piece: str) -> list[tuple[int, int]]:
@@ -184,26 +187,31 @@ def runs(piece: str) -> list[tuple[int, int]]:
 
 
 def suspects(text: str, base: list[tuple[int, int, int]]) -> list[tuple[int, int, int, int]]:
-    """(start, end, class, step) of strings outside ``base`` that pass the battery.
+    """(start, end, class, step) of strings outside ``base`` that the battery was tried on.
 
     Of runs that overlap, the one that ordinary text is least likely to have stays, then the longer one;
-    a p-value is multiplied by the number of runs that were tried in its piece.
+    a p-value is multiplied by the number of runs that were tried in its piece. A piece of which no run passes
+    is one hypothesis that has failed, of its longest run and with step 0.
     """
     out = []
     for start, end in pieces(text, base):
-        tried, passed = runs(text[start:end]), []
+        tried, passed, longest = runs(text[start:end]), [], (0, 0, 0)
         for a, b in tried:
             s = text[start + a : start + b]
             alphabet = encoding(s)
             if alphabet is None:
                 continue
+            longest = max(longest, (b - a, -a, b))
             *tests, odd = battery(s, alphabet)
             if min(tests) >= LEVEL:
                 passed.append((min(odd * len(tried), 1.0), a - b, a, b))
         taken: list[tuple[int, int]] = []
+        if longest[0] and not passed:
+            passed = [(1.0, -longest[0], -longest[1], longest[2])]
         for odd, _, a, b in sorted(passed):
-            if all(b <= x or y <= a for x, y in taken):
-                taken.append((a, b))
+            i = bisect.bisect(taken, (a, b))
+            if (not i or taken[i - 1][1] <= a) and (i == len(taken) or b <= taken[i][0]):
+                taken.insert(i, (a, b))
                 kind = sum(b - a >= c for c in CLASSES) - 1
                 out.append((start + a, start + b, kind, min(int(-math.log10(max(odd, 1e-300)) / STEP), STEPS)))
     return sorted(out)

@@ -1,13 +1,14 @@
 """Balanced shards of indivisible groups by Karmarkar-Karp differencing.
 
-A group is all rows of one text and goes to one shard. Groups are hashed into blocks of
-bounded size; each block is differenced in its own task down to one partial partition
-(a load for each shard), and the driver differences those few block tuples the same way.
-Only the block tuples (blocks x shards numbers, at most ``MOST_BLOCKS`` x shards) reach
-the driver.
+A group is all rows of one text and goes to one shard. Groups are hashed into blocks of about
+``BLOCK`` groups, however many blocks that makes; each block is differenced in its own task down to one partial partition
+(a load for each shard). Blocks are items of the next level, differenced in blocks of ``BLOCK`` in the same way, until
+one block holds all: that one reaches the driver, ``BLOCK`` x shards numbers at most.
 
 Nulls count as empty texts; equal texts share a shard; an empty table gives no rows; extra
-columns are dropped. Rows that repeat entirely keep one row each.
+columns are dropped. Rows that repeat entirely keep one row each. Ties go by the order of digests. Of very long texts only
+length and digest are carried. A text with a thousandth of all rows or more meets its shard by broadcast, so that its rows
+stay apart.
 """
 
 from __future__ import annotations
@@ -18,12 +19,12 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.types import IntegerType, StructField, StructType
+from pyspark.sql.types import ArrayType, IntegerType, StructField, StructType
 
 from .scratch import ranked, settle
 
-#: Groups in a block, about, and the most blocks there are.
-BLOCK_GROUPS, MOST_BLOCKS = 20_000, 4096
+#: Items in a block, about; rows of a text from which it meets its shard by broadcast, if they are a thousandth of all, too.
+BLOCK, OFTEN = 20_000, 1000
 
 
 def difference(loads: list[list[int]]) -> list[list[int]]:
@@ -72,10 +73,32 @@ def split(weights: list[int], k: int) -> list[int]:
 
 
 def _block(shards: int, group: pa.Table) -> pa.Table:
+    group = group.sort_by("_text")
     weights = group.column("weight").to_pylist()
     return group.append_column("part", pa.array(np.array(split(weights, shards), np.int32)))
 
 
+def _level(group: pa.Table) -> pa.Table:
+    group = group.sort_by("_block")
+    return group.append_column("to", pa.array(difference(group.column("loads").to_pylist()), pa.list_(pa.int32())))
+
+
+def combined(sums: DataFrame, blocks: int, shards: int) -> DataFrame:
+    """(_block, part, shard) for blocks' loads (_block, part, w): by one differencing of all, or of blocks of them and then of those."""
+    if blocks <= BLOCK:
+        loads = [[0] * shards for _ in range(blocks)]
+        for row in sums.collect():
+            loads[row["_block"]][row["part"]] = row["w"]
+        to = [(b, p, s) for b, row in enumerate(difference(loads)) for p, s in enumerate(row)]
+        return F.broadcast(sums.sparkSession.createDataFrame(to, "_block long, part int, shard int"))
+    entry = lambda p: F.coalesce(F.sum(F.when(F.col("part") == p, F.col("w"))), F.lit(0))
+    items = sums.groupBy("_block").agg(F.array(*map(entry, range(shards))).alias("loads")).withColumn("above", F.floor(F.col("_block") / BLOCK))
+    schema = StructType([*items.schema, StructField("to", ArrayType(IntegerType()))])
+    turned = settle(items.groupBy("above").applyInArrow(_level, schema).selectExpr("_block", "above", "posexplode(arrays_zip(loads, to)) AS (part, x)").selectExpr("_block", "above", "part", "x.loads AS w", "x.to AS upper"), "levels")
+    higher = combined(turned.groupBy(F.col("above").alias("_block"), F.col("upper").alias("part")).agg(F.sum("w").alias("w")), -(-blocks // BLOCK), shards)
+    return turned.join(higher.select(F.col("_block").alias("above"), F.col("part").alias("upper"), "shard"), ["above", "upper"]).select("_block", "part", "shard")
+
+
 def shard(docs: DataFrame, shards: int = 8) -> DataFrame:
     """(doc_id, size, text_crc32, shard, slot) of every row of ``docs``.
 
@@ -88,13 +111,12 @@ def shard(docs: DataFrame, shards: int = 8) -> DataFrame:
         ),
         "sizes",
     )
-    blocks = min(MOST_BLOCKS, max(1, -(-rows.count() // BLOCK_GROUPS)))
-    groups = rows.groupBy("_text").agg(F.sum("size").alias("weight")).withColumn("_block", F.pmod(F.xxhash64("_text"), F.lit(blocks)).cast("int"))
+    n = rows.count()
+    blocks, often = max(1, -(-n // BLOCK)), max(OFTEN, n // 1000)
+    groups = rows.groupBy("_text").agg(F.sum("size").alias("weight"), F.count("*").alias("copies")).withColumn("_block", F.pmod(F.xxhash64("_text"), F.lit(blocks)))
     parts = settle(groups.groupBy("_block").applyInArrow(lambda t: _block(shards, t), StructType([*groups.schema, StructField("part", IntegerType())])), "parts")
-    sums = [[0] * shards for _ in range(blocks)]
-    for row in parts.groupBy("_block", "part").agg(F.sum("weight").alias("w")).collect():
-        sums[row["_block"]][row["part"]] = row["w"]
-    to = [(b, p, s) for b, row in enumerate(difference(sums)) for p, s in enumerate(row)]
-    where = docs.sparkSession.createDataFrame(to, "_block int, part int, shard int")
-    placed = rows.join(parts.join(F.broadcast(where), ["_block", "part"]).select("_text", "shard"), "_text").drop("_text")
-    return ranked(placed, "shard", "slot", "sharded")
+    where = combined(parts.groupBy("_block", "part").agg(F.sum("weight").alias("w")), blocks, shards)
+    shard_of = parts.join(where, ["_block", "part"]).select("_text", "shard", "copies")
+    hot = F.broadcast(shard_of.where(F.col("copies") >= often).drop("copies"))
+    rest = rows.join(hot, "_text", "left_anti").join(shard_of.where(F.col("copies") < often).drop("copies"), "_text")
+    return ranked(rows.join(hot, "_text").unionByName(rest).drop("_text"), "shard", "slot", "sharded")

@@ -1,12 +1,14 @@
 """Exact histogram of encoded lengths; suffix sums answer every context limit.
 
-Nulls count as empty texts (length 0). Repeated rows count each. An empty table gives no
-rows. Special-token strings in a text are ordinary text.
+Nulls count as empty texts (length 0). Repeated rows count each; ties share one row of the histogram. An empty table gives no
+rows. Special-token strings in a text are ordinary text. Very long texts are encoded whole, but for long runs of white space,
+on which the encoder's pattern would overflow its stack: those are taken out and merged by themselves. Extra columns are dropped.
 """
 
 from __future__ import annotations
 
 import base64
+import re
 from collections import Counter
 from collections.abc import Iterator
 from functools import lru_cache
@@ -17,6 +19,10 @@ from pyspark.sql import functions as F
 
 from .scratch import id_text, settle
 
+#: White space in runs that are encoded by themselves; it is what the encoder's pattern means by white space.
+LONG_SPACE = re.compile("[\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]{4096,}")
+#: How a pattern ends that takes all of a run of white space but its last character, if text follows, and all of it otherwise.
+RUNS_APART = r"|\s+(?!\S)|\s+"
 #: Lengths are summed in strips of so many, so that no window holds all of them.
 STRIP = 1024
 
@@ -30,11 +36,27 @@ def encoder(path: str, pattern: str):
     return tiktoken.Encoding("ranks", pat_str=pattern, mergeable_ranks=ranks, special_tokens={})
 
 
+def length(coder, pattern: str, text: str) -> int:
+    """Tokens of a text.
+
+    Where RUNS_APART ends the pattern, a run of white space is a piece of its own, without its last character
+    if text follows: no piece reaches into it from the left, and the rest is encoded as if it began there.
+    """
+    if not pattern.endswith(RUNS_APART):
+        return len(coder.encode_ordinary(text))
+    n, at = 0, 0
+    for m in LONG_SPACE.finditer(text):
+        end = m.end() - (m.end() < len(text))
+        n += len(coder.encode_ordinary(text[at : m.start()])) + len(coder._encode_single_piece(text[m.start() : end]))
+        at = end
+    return n + len(coder.encode_ordinary(text[at:]))
+
+
 def _tally(path: str, pattern: str, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    encode, seen = encoder(path, pattern).encode_ordinary, Counter()
+    coder, seen = encoder(path, pattern), Counter()
     for batch in batches:
         for text in batch.column(0):
-            seen[len(encode(text.as_py() or ""))] += 1
+            seen[length(coder, pattern, text.as_py() or "")] += 1
     yield pa.RecordBatch.from_arrays([pa.array(list(seen), pa.int64()), pa.array(list(seen.values()), pa.int64())], names=["n_tokens", "n_docs"])
 
 

@@ -55,6 +55,32 @@ def texts():
 
 # words
 
+def test_words_of_no_family_are_sure_to_collide():
+    """Long periodic words and those that no polynomial modulo a power of two tells apart."""
+    thue = lambda n, a, b: "".join((a, b)[bin(i).count("1") % 2] for i in range(n))
+    many = [w for n in (64, 1024, 4096, 1 << 17) for w in (thue(n, "a", "b"), thue(n, "b", "a"), "a" * n, "ab" * (n // 2), "ba" * (n // 2), "a" * (n - 1) + "b", "b" + "a" * (n - 1))]
+    texts = pa.array([" ".join(many)])
+    for kind in (words.SPACED, words.ALNUM):
+        (w,) = words.words(texts, kind)
+        assert len(w.hash) == len(many) == len(set(w.hash.tolist())) and w.length.tolist() == [len(x) for x in many]
+
+
+def test_very_long_words_stay_apart_in_each_operator(spark):
+    import public_tokenizers as P
+
+    thue = lambda n, a, b: "".join((a, b)[bin(i).count("1") % 2] for i in range(n))
+    long = [thue(2048, "a", "b"), thue(2048, "b", "a")]
+    docs = docs_of(spark, [f"{w} one two three four five six seven eight nine ten" for w in long] + [long[0]])
+    items = spark.createDataFrame([("i", f"{long[0]} one two three four five six seven eight nine")], "item_id string, text string")
+    assert [r["n_hit"] for r in decontamination.report(docs, items).orderBy("doc_id").collect()] == [10, 0, 0]
+    assert [r["n_links"] for r in jaccard_join.join(docs).collect()] == [0, 0, 0]
+    coder = packing.Coder(P.path("word_bpe_49k.json"))
+    for got, w in zip(coder.ids(pa.array(long)), long, strict=True):
+        assert got.tolist() == coder.coder.encode(w, add_special_tokens=False).ids
+    known = {r["doc_id"]: r["n_known"] for r in suffix_tree.score(docs).collect()}
+    assert known[0] == 12
+
+
 @pytest.mark.parametrize(("kind", "plain"), [(words.SPACED, spaced), (words.ALNUM, alnum)])
 def test_words_are_those_of_the_pattern(texts, kind, plain):
     seen = {}
@@ -91,6 +117,23 @@ def test_length_histogram(spark, texts):
     assert token_counts.with_suffix_sums(token_counts.length_histogram(docs_of(spark, texts).limit(0), path, P.PATTERN)).count() == 0
 
 
+def test_lengths_of_long_runs(spark):
+    """White space that overflows the encoder's stack as one run, and runs of other signs."""
+    import public_tokenizers as P
+
+    path = P.path("byte_bpe_50k.tiktoken")
+    coder = token_counts.encoder(path, P.PATTERN)
+    r = random.Random(8)
+    for space in (" ", "\n", "\t \n", "\u2003", " \x85"):
+        for n in (4095, 4096, 5000, 9001):
+            run = (space * n)[:n]
+            for text in (run, f"a{run}", f"{run}b", f"a{run}b", f"a{run}'s{run}1 {run}.", f"\x1c{run}\x1f", run + "".join(r.choices(" \nab.", k=50)) + run):
+                assert token_counts.length(coder, P.PATTERN, text) == len(coder.encode_ordinary(text))
+    runs = [" " * 2_000_000, "x" + "\n" * 1_500_000 + "y", "a" * 1_000_000]
+    rows = token_counts.length_histogram(docs_of(spark, runs), path, P.PATTERN).collect()
+    assert {2_000_000, len(coder.encode_ordinary("a" * 1_000_000))} < {r["n_tokens"] for r in rows} and len(rows) == 3
+
+
 # 2
 
 def plain_hits(text, items):
@@ -488,6 +531,78 @@ def test_keys_next_to_names_and_known_shapes_are_tested():
     assert found(f"{url}={key}") == [url + "=", key]
 
 
+def test_battery_is_that_of_the_textbook():
+    """Chi-squared by its own sum and series, runs and serial correlation by loops."""
+
+    def tail(x, df):  # of chi-squared, by the series of the lower incomplete gamma function
+        a, term, total, n = df / 2, 1.0, 1.0, 0
+        while term > total * 1e-12 and n < 10_000:
+            n += 1
+            term *= x / 2 / (a + n)
+            total += term
+        return 1 - math.exp(a * math.log(x / 2) - x / 2 - math.lgamma(a + 1)) * total
+
+    r = random.Random(12)
+    for _, alphabet in secrets.ENCODINGS:
+        for n in (24, 64, 200):
+            s = "".join(r.choices(alphabet, k=n))
+            x, k = [alphabet.index(c) for c in s], len(alphabet)
+            chi2 = sum((x.count(i) - n / k) ** 2 / (n / k) for i in range(k))
+            high = [v >= (k + 1) // 2 for v in x]
+            a, b = sum(high), n - sum(high)
+            runs, mean = 1 + sum(p != q for p, q in zip(high, high[1:], strict=False)), 2 * a * b / n + 1
+            spread = math.sqrt(2 * a * b * (2 * a * b - n) / n**2 / (n - 1))
+            m = sum(x) / n
+            serial = sum((p - m) * (q - m) for p, q in zip(x, x[1:], strict=False)) / sum((p - m) ** 2 for p in x)
+            normal = lambda z: math.erfc(abs(z) / math.sqrt(2))
+            uniform, by_runs, by_serial, _ = secrets.battery(s, alphabet)
+            assert uniform == pytest.approx(tail(chi2, k - 1), abs=0.01)
+            assert by_runs == pytest.approx(normal((runs - mean) / spread)) and by_serial == pytest.approx(normal((serial + 1 / n) * math.sqrt(n)))
+
+
+def test_every_string_that_was_tried_counts_as_a_hypothesis():
+    base = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/"
+    key = "".join(random.Random(3).choices(base, k=40))
+    refused = "a1" * 20
+    found = secrets.suspects(f"{key} {refused} plainwordswithoutdigits", [])
+    assert [(f"{key} {refused}"[a:b], step > 30) for a, b, _, step in found] == [(key, True), (refused, False)] and found[1][3] == 0
+    # ten at p = 10 ** -3.1 among a hundred pass at a rate of 0.01; among two hundred they don't
+    assert secrets.thresholds([(1, 31, 10), (1, 0, 90)])[1] == 31 and secrets.thresholds([(1, 31, 10), (1, 0, 190)])[1] > 31
+
+
+def test_long_lists_of_digests_take_time_in_proportion(spark):
+    import time
+
+    r = random.Random(7)
+    lines = lambda n: "\n".join("".join(r.choices("0123456789abcdef", k=64)) + " 0123456789+abcdefghijklmnop" for _ in range(n))
+    seconds = []
+    for n in (10_000, 40_000):
+        text = lines(n)
+        base = secrets.known(text)
+        start = time.perf_counter()
+        found = list(secrets.pieces(text, base))
+        seconds.append(time.perf_counter() - start)
+        assert len(base) == len(found) == n
+    assert seconds[1] < 20 * max(seconds[0], 0.01)
+
+
+def test_pieces_are_what_spans_leave():
+    r = random.Random(13)
+    for _ in range(300):
+        text = "".join(r.choices("abAB12=+ ", [5, 5, 5, 5, 5, 5, 1, 1, 1], k=300))
+        base = sorted((0, a, a + r.randint(1, 60)) for a in (r.randrange(300) for _ in range(r.randint(0, 6))))
+        want = []
+        for m in secrets.CANDIDATE.finditer(text):
+            free = [i for i in range(m.start(), m.end()) if not any(a <= i < b for _, a, b in base)]
+            for i in list(free):
+                if i - 1 not in free:
+                    end = i
+                    while end in free:
+                        end += 1
+                    want += [p.span() for p in secrets.PIECE.finditer(text, i, end) if p.end() - p.start() >= 20]
+        assert list(secrets.pieces(text, base)) == want
+
+
 def test_ordinary_strings_have_large_p_values():
     for s in ("internationalization2documentation", "GET_USER_ACCOUNT_BY_SESSION_TOKEN_ID", "AbstractSingletonProxyFactoryBean2", "path/to/some/file/name/in/the/library", "00000000000000001234", "12345678901234567890"):
         assert secrets.battery(s, secrets.encoding(s))[3] > 0.5
@@ -538,9 +653,11 @@ def test_differencing():
     assert sorted(sharding.split([8, 7, 6, 5, 4], 2)) in ([0, 0, 1, 1, 1], [0, 0, 0, 1, 1])
 
 
-@pytest.mark.parametrize("groups", [20_000, 10])
+@pytest.mark.parametrize("groups", [20_000, 10, 3])
 def test_sharding(spark, monkeypatch, texts, groups):
-    monkeypatch.setattr(sharding, "BLOCK_GROUPS", groups)
+    """Also in many blocks, and in blocks of blocks of blocks."""
+    monkeypatch.setattr(sharding, "BLOCK", groups)
+    monkeypatch.setattr(sharding, "OFTEN", 100)
     texts = texts + ["hot copy of a text"] * 200
     rows = sharding.shard(docs_of(spark, texts), 8).collect()
     assert len(rows) == len(texts)
@@ -550,6 +667,9 @@ def test_sharding(spark, monkeypatch, texts, groups):
         assert (r["size"], r["text_crc32"]) == (len(raw) + 1, zlib.crc32(raw))
         of[raw].add(r["shard"])
     assert all(len(s) == 1 for s in of.values())
+    loads = [sum(r["size"] for r in rows if r["shard"] == k) for k in range(8)]
+    whole = collections.Counter((texts[r["doc_id"]] or "").encode() for r in rows)
+    assert sum(loads) == sum(len((t or "").encode()) + 1 for t in texts) and max(loads) - min(loads) <= max(n * (len(t) + 1) for t, n in whole.items())
     for k in range(8):
         mine = sorted(r["slot"] for r in rows if r["shard"] == k)
         assert mine == list(range(len(mine)))
