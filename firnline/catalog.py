@@ -11,6 +11,7 @@ import copy
 import datetime as dt
 import json
 import uuid
+from collections.abc import Callable
 from dataclasses import dataclass
 
 from pyspark.sql import SparkSession
@@ -20,6 +21,10 @@ from .model import Options, TierError
 from .sources.storage import Store
 
 
+#: How often a change is tried again after another writer was first.
+ATTEMPTS = 20
+
+
 class Conflict(RuntimeError):
     """Another writer has published this version."""
 
@@ -55,13 +60,16 @@ class Segment:
     scope: str | None = None
     status: str = "active"
     created_at: str = ""
+    keys: tuple | None = None  # (least, greatest) whole key; None if unknown
 
     def to_json(self) -> dict:
-        return {**self.__dict__, "bounds": {str(k): [freeze(a), freeze(b), n] for k, (a, b, n) in self.bounds.items()}}
+        keys = None if self.keys is None else [[freeze(v) for v in key] for key in self.keys]
+        return {**self.__dict__, "keys": keys, "bounds": {str(k): [freeze(a), freeze(b), n] for k, (a, b, n) in self.bounds.items()}}
 
     @classmethod
     def from_json(cls, held: dict) -> Segment:
-        return cls(**{**held, "bounds": {int(k): (thaw(a), thaw(b), n) for k, (a, b, n) in held["bounds"].items()}})
+        keys = None if held.get("keys") is None else tuple(tuple(thaw(v) for v in key) for key in held["keys"])
+        return cls(**{**held, "keys": keys, "bounds": {int(k): (thaw(a), thaw(b), n) for k, (a, b, n) in held["bounds"].items()}})
 
 
 class Snapshot:
@@ -126,6 +134,21 @@ class Catalog:
             raise Conflict(f"version {after + 1} of {draft['name']} exists")
         return Snapshot(draft)
 
+    def update(self, change: Callable[[Snapshot, dict], object]) -> object:
+        """Publish what ``change`` makes of a draft of the newest version, anew if another writer was first. Nothing is published if it returns None."""
+        for _ in range(ATTEMPTS):
+            held = self.load()
+            draft = held.draft()
+            out = change(held, draft)
+            if out is None:
+                return None
+            try:
+                self.publish(draft, held.version)
+                return out
+            except Conflict:
+                continue
+        raise Conflict(f"{ATTEMPTS} attempts were overtaken")
+
     def create(self, name: str, schema: T.StructType, pk: list[str], kind: str, options: Options) -> Snapshot:
         if self.versions():
             raise TierError(f"{name} is already managed")

@@ -13,12 +13,17 @@ from functools import reduce
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from ..catalog import Catalog, Segment, Snapshot, freeze
+from ..catalog import ATTEMPTS, Catalog, Conflict, Segment, Snapshot, freeze
 from ..model import DELETE, DELETED, FORCE_TOMBSTONES_ONLY, OP, ORDERABLE, SEQ, VERSION, RowLimit
 from ..plans.merge import Reader
 
 FOLDER = 100  # segments in a folder
+#: How long a running job may be silent before another caller may take over.
+LEASE = dt.timedelta(minutes=30)
+#: Ranges that a search for a rank counts at once, and values of one range that are looked at themselves.
+RANGES, FEW = 1024, 10_000
 
 #: Test hook: functions to call at named points of a flush.
 FAILPOINTS: dict[str, object] = {}
@@ -35,6 +40,24 @@ def _count(index: DataFrame) -> tuple[int, int]:
     return tuple(index.agg(F.count("*"), F.count(F.when(F.col(OP) == DELETE, 1))).first())
 
 
+def nth(rows: DataFrame, n: int) -> int | None:
+    """The n-th smallest seq, by counts of ranges that are narrowed down: no sort, and at most FEW values reach the driver."""
+    low, high, total = rows.agg(F.min(SEQ), F.max(SEQ), F.count("*")).first()
+    if total < n:
+        return None
+    inside = rows
+    while total > FEW and low < high:
+        step = (high - low) // RANGES + 1
+        counts = dict(inside.groupBy(F.expr(f"({SEQ} - {low}) div {step}").alias("r")).agg(F.count("*").alias("k")).collect())
+        for r in sorted(counts):
+            if counts[r] >= n:
+                break
+            n -= counts[r]
+        low, high, total = low + r * step, min(high, low + (r + 1) * step - 1), counts[r]
+        inside = rows.where(F.col(SEQ).between(low, high))
+    return low if low == high else sorted(r[0] for r in inside.select(SEQ).collect())[n - 1]
+
+
 def select(reader: Reader, force: bool, now: dt.datetime | None) -> tuple[DataFrame, int, int, bool]:
     """Change-index rows to flush, how many they are, tombstones among them, and whether they are all."""
     index, policy = reader.index(), reader.snapshot.options.policy
@@ -50,8 +73,7 @@ def select(reader: Reader, force: bool, now: dt.datetime | None) -> tuple[DataFr
         rows = policy.rows_to_flush(pool.count())
     if not rows:
         return index.limit(0), 0, 0, False
-    cut = pool.orderBy(SEQ).offset(rows - 1).limit(1).first()[SEQ]
-    picked = pool.where(F.col(SEQ) <= cut)
+    picked = pool.where(F.col(SEQ) <= nth(pool, rows))
     return picked, *_count(picked), False
 
 
@@ -72,8 +94,9 @@ def bounded(snapshot: Snapshot) -> list[tuple[int, str]]:
 def describe(catalog: Catalog, snapshot: Snapshot, paths: list[str], batch: int) -> list[Segment]:
     """Counts and bounds of new files, by one pass of Spark over just these."""
     df = catalog.spark.read.parquet(*[catalog.store.full(p) for p in paths])
-    columns = bounded(snapshot)
-    measures = [F.count("*").alias("rows"), F.sum(F.col(DELETED).cast("long")).alias("deletes"), F.min(SEQ).alias("lo"), F.max(SEQ).alias("hi"), F.first("_metadata.file_size").alias("bytes")]
+    columns, pk = bounded(snapshot), snapshot.pk
+    whole = all(isinstance(t, (*ORDERABLE, T.StringType)) for _, n, t in snapshot.columns() if n in pk)
+    measures = [F.min(F.struct(*pk)).alias("first"), F.max(F.struct(*pk)).alias("last"),F.count("*").alias("rows"), F.sum(F.col(DELETED).cast("long")).alias("deletes"), F.min(SEQ).alias("lo"), F.max(SEQ).alias("hi"), F.first("_metadata.file_size").alias("bytes")]
     for i, n in columns:
         measures += [F.min(n).alias(f"a{i}"), F.max(n).alias(f"z{i}"), F.sum(F.col(n).isNull().cast("long")).alias(f"n{i}")]
     known = {}
@@ -86,7 +109,7 @@ def describe(catalog: Catalog, snapshot: Snapshot, paths: list[str], batch: int)
             catalog.store.delete(p)
             continue
         bounds = {i: (r[f"a{i}"], r[f"z{i}"], r[f"n{i}"]) for i, _ in columns}
-        out.append(Segment(p, r["rows"], r["deletes"], r["bytes"], r["lo"], r["hi"], snapshot.schema_version, batch, bounds, created_at=dt.datetime.now(dt.UTC).isoformat()))
+        out.append(Segment(p, r["rows"], r["deletes"], r["bytes"], r["lo"], r["hi"], snapshot.schema_version, batch, bounds, created_at=dt.datetime.now(dt.UTC).isoformat(), keys=(tuple(r["first"]), tuple(r["last"])) if whole else None))
     return out
 
 
@@ -98,7 +121,7 @@ def write(catalog: Catalog, snapshot: Snapshot, rows: DataFrame, n: int, batch:
     files = max(1, -(-n // per_file))
     staging = f"cold/_staging/{uuid.uuid4().hex}"
     writer = rows.repartitionByRange(files, *by).sortWithinPartitions(*by).write.option("maxRecordsPerFile", per_file).option("compression", options.compression)
-    for c in dict.fromkeys([*(snapshot.pk if options.bloom_columns else []), *options.bloom_columns]):
+    for c in dict.fromkeys([*snapshot.pk, *options.bloom_columns]):  # the key always, for lookups
         writer = writer.option(f"parquet.bloom.filter.enabled#{c}", "true").option(f"parquet.bloom.filter.expected.ndv#{c}", str(per_file))
     writer.parquet(catalog.store.full(staging))
     _point("staged")
@@ -143,54 +166,119 @@ def keep(catalog: Catalog, draft: dict, hot: DataFrame | None, index: DataFrame
         draft["index"] = [f"index/{mark}"]
 
 
+def busy(job: dict, now: dt.datetime | None = None) -> bool:
+    """Whether a job is running under a lease that holds; one whose lease has ended may be taken over."""
+    return job["status"] == "running" and dt.datetime.fromisoformat(job["lease_until"]) > (now or dt.datetime.now(dt.UTC))
+
+
+def claim(catalog: Catalog, rows: int) -> dict | None:
+    """The flush job that this caller runs: the oldest pending one or a new one. None while another holds a lease. Jobs without one have failed."""
+
+    def change(held: Snapshot, draft: dict) -> dict | None:
+        now = dt.datetime.now(dt.UTC)
+        mine = [j for j in draft["jobs"] if j["type"] == "flush"]
+        if any(busy(j, now) for j in mine):
+            return None
+        for j in mine:
+            if j["status"] == "running":
+                j.update(status="failed", error="its lease ended", finished_at=now.isoformat())
+        job = next((j for j in mine if j["status"] == "pending"), None)
+        if job is None:
+            job = {"id": uuid.uuid4().hex, "type": "flush", "created_at": now.isoformat(), "error": None}
+            draft["jobs"].append(job)
+        job.update(status="running", rows=rows, token=uuid.uuid4().hex, lease_until=(now + LEASE).isoformat())
+        return dict(job)
+
+    return catalog.update(change)
+
+
+def _mine(draft: dict, job: dict) -> dict:
+    """The job's entry, if it is still this caller's."""
+    held = next((j for j in draft["jobs"] if j["id"] == job["id"]), None)
+    if held is None or held["status"] != "running" or held["token"] != job["token"]:
+        raise Lost(f"flush job {job['id']} was cancelled or taken over")
+    return held
+
+
+class Lost(RuntimeError):
+    """A job that this caller ran is not its own any more."""
+
+
+def finish(catalog: Catalog, job: dict, status: str, error: str | None, rows: int | None = None) -> None:
+    def change(held: Snapshot, draft: dict) -> bool:
+        _mine(draft, job).update(status=status, error=error, finished_at=dt.datetime.now(dt.UTC).isoformat(), **({} if rows is None else {"rows": rows}))
+        return True
+
+    catalog.update(change)
+
+
+def _without(catalog: Catalog, snapshot: Snapshot, flushed: DataFrame) -> tuple[list, list]:
+    """Hot and change-index pieces of a snapshot without the flushed (key, seq) pairs, written anew."""
+    reader, draft, key = Reader(catalog, snapshot), snapshot.draft(), [*snapshot.pk, SEQ]
+    keep(catalog, draft, reader.hot().join(flushed, key, "left_anti"), reader.index().join(flushed, key, "left_anti"), snapshot.schema_version)
+    return draft["hot"], draft["index"]
+
+
+def _activate(catalog: Catalog, snapshot: Snapshot, job: dict, segments: list[Segment], batch: int, flushed: DataFrame, rows: int, everything: bool) -> None:
+    """Segments become active and flushed pairs leave the hot side, in one version, whatever has changed since ``snapshot``.
+
+    Only the very (key, seq) pairs that were flushed leave: a later change has a higher seq. Pieces that were appended since can't
+    hold any, so that as long as changes only append, another attempt costs one small file.
+    """
+    left: tuple[list, list] | None = ([], []) if everything else None
+    for _ in range(ATTEMPTS):
+        held = catalog.load()
+        draft = held.draft()
+        _mine(draft, job).update(status="completed", error=None, rows=rows, finished_at=dt.datetime.now(dt.UTC).isoformat())
+        appended = held.hot[: len(snapshot.hot)] == snapshot.hot and held.index[: len(snapshot.index)] == snapshot.index and held.schema_version == snapshot.schema_version
+        if appended:
+            left = left or _without(catalog, snapshot, flushed)
+            draft["hot"], draft["index"] = left[0] + held.hot[len(snapshot.hot) :], left[1] + held.index[len(snapshot.index) :]
+        else:
+            draft["hot"], draft["index"] = _without(catalog, held, flushed)
+        draft["segments"] += [s.to_json() for s in segments]
+        draft["next_batch"] = max(batch + 1, held.held["next_batch"])
+        try:
+            catalog.publish(draft, held.version)
+            return
+        except Conflict:
+            continue
+    raise Conflict(f"{ATTEMPTS} attempts were overtaken")
+
+
 def flush(catalog: Catalog, force: bool = False, now: dt.datetime | None = None) -> dict:
-    """One flush pass; a job in the catalog tells how it went."""
+    """One flush pass under a job of the catalog; a waiting job is taken up. Changes may go on meanwhile."""
     snapshot = catalog.load()
-    if any(j["status"] == "running" and j["type"] == "flush" for j in snapshot.held["jobs"]):
+    jobs = [j for j in snapshot.held["jobs"] if j["type"] == "flush"]
+    if any(map(busy, jobs)):
         return {"ok": False, "status": "busy", "rows": 0}
-    reader = Reader(catalog, snapshot)
-    picked, n, gone, everything = select(reader, force, now)
-    if not n:
+    picked, n, gone, everything = select(Reader(catalog, snapshot), force, now)
+    if not n and not any(j["status"] == "pending" for j in jobs):
         return {"ok": True, "status": "nothing_to_flush", "job_id": None, "rows": 0, "segments": 0}
-    job = {"id": uuid.uuid4().hex, "type": "flush", "status": "running", "created_at": dt.datetime.now(dt.UTC).isoformat(), "rows": n, "error": None}
-    draft = snapshot.draft()
-    draft["jobs"].append(job)
-    snapshot = catalog.publish(draft, snapshot.version)
+    job = claim(catalog, n)
+    if job is None:
+        return {"ok": False, "status": "busy", "rows": 0}
     try:
-        batch = snapshot.held["next_batch"]
+        if not n:
+            finish(catalog, job, "completed", None, 0)
+            return {"ok": True, "status": "nothing_to_flush", "job_id": job["id"], "rows": 0, "segments": 0}
+        batch, reader = snapshot.held["next_batch"], Reader(catalog, snapshot)
         count, live = n - gone, picked.where(F.col(OP) != DELETE)
         if gone:
             needed = cold_may_hold(snapshot, picked.where(F.col(OP) == DELETE))
             count, live = count + needed.count(), live.unionByName(needed)
-        rows = rows_of(reader, live)
-        segments = write(catalog, snapshot, rows, count, batch) if count else []
+        segments = write(catalog, snapshot, rows_of(reader, live), count, batch) if count else []
         _point("before_activate")
-        draft = snapshot.draft()
-        draft["segments"] += [s.to_json() for s in segments]
-        draft["next_batch"] = batch + 1
-        # only the very (key, seq) pairs that were flushed leave: whatever changed since has a higher seq
-        flushed = picked.select(*snapshot.pk, SEQ)
-        if everything and reader.hot().count() == n - gone:
-            draft["hot"], draft["index"] = [], []
-        else:
-            keep(catalog, draft, reader.hot().join(flushed, [*snapshot.pk, SEQ], "left_anti"), reader.index().join(flushed, [*snapshot.pk, SEQ], "left_anti"), snapshot.schema_version)
-        _finish(draft, job["id"], "completed", None)
-        catalog.publish(draft, snapshot.version)
+        _activate(catalog, snapshot, job, segments, batch, picked.select(*snapshot.pk, SEQ), n, everything and reader.hot().count() == n - gone)
     except Exception as e:
-        now_held = catalog.load()
-        draft = now_held.draft()
-        _finish(draft, job["id"], "failed", str(e)[:500])
-        catalog.publish(draft, now_held.version)
+        try:
+            finish(catalog, job, "failed", str(e)[:500])
+        except Lost:
+            pass
         raise
     return {"ok": True, "status": "completed", "job_id": job["id"], "rows": n, "segments": len(segments)}
 
 
-def _finish(draft: dict, job: str, status: str, error: str | None) -> None:
-    for j in draft["jobs"]:
-        if j["id"] == job:
-            j.update(status=status, error=error, finished_at=dt.datetime.now(dt.UTC).isoformat())
-
-
 def flush_due(snapshot: Snapshot, pending: int) -> bool:
     """Whether the policy of a table would flush now; of use to a scheduler."""
     policy = snapshot.options.policy

@@ -4,15 +4,17 @@ from __future__ import annotations
 
 import datetime as dt
 import json
+from collections.abc import Callable
 from functools import reduce
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ..catalog import Catalog, Snapshot
+from ..catalog import ATTEMPTS, Catalog, Conflict, Snapshot
 from ..model import DELETE, INSERT, OP, ORDERABLE, SEQ, UPDATE, Options, SequenceIds, TierError, check_type, need_scope
 from ..plans import merge
+from ..plans.prune import Filter, filters_of
 from . import care, feed
 from . import flush as flushing
 
@@ -71,14 +73,15 @@ class TieredTable:
 
     def alter(self, **changes) -> None:
         """Change options: policy, compression, bloom_columns, auto_flush."""
-        held = self.catalog.load()
         unknown = set(changes) - {"policy", "compression", "bloom_columns", "auto_flush"}
         if unknown:
             raise TierError(f"can't alter {sorted(unknown)}")
-        options = Options(**{**held.options.__dict__, **changes})
-        draft = held.draft()
-        draft["options"] = options.to_json()
-        self.catalog.publish(draft, held.version)
+
+        def change(held: Snapshot, draft: dict) -> bool:
+            draft["options"] = Options(**{**held.options.__dict__, **changes}).to_json()
+            return True
+
+        self.catalog.update(change)
 
     def unmanage(self, to: str | None = None, drop_cold: bool = False) -> int:
         """Detach: with ``to`` the latest rows are written there and their number returned; cold files go only then."""
@@ -111,25 +114,31 @@ class TieredTable:
             raise TierError(f"{held.name} is not managed any more")
         return held
 
+    def _mine(self, held: Snapshot) -> Column:
+        """Whether a row is of the active scope."""
+        return F.col(held.options.scope_column).cast("string").eqNullSafe(F.lit(self.scope.strip()))
+
     def _scoped(self, held: Snapshot, df: DataFrame) -> DataFrame:
         """Rows of the active scope; without one, a user table reads as empty."""
         if held.kind == "shared":
             return df
         if self.scope is None or not self.scope.strip():
             return df.limit(0)
-        return df.where(F.col(held.options.scope_column).cast("string") == self.scope.strip())
+        return df.where(self._mine(held))
 
     def scan(self, filters=None, where: str | None = None, columns: list[str] | None = None, order_by=None, limit: int | None = None, late: bool = False) -> DataFrame:
         """Latest rows; how they were found is in ``report``."""
-        held = self.snapshot
+        held, rule = self.snapshot, None
         if held.kind == "user":
-            filters = list(filters or [])
+            filters = filters_of(filters)
             if self.scope is None or not self.scope.strip():
-                df, self.report = merge.scan(self.catalog, held, filters, where, columns)
+                df, self.report = merge.scan(self.catalog, held, filters, where, columns, rule=F.lit(False))
                 return df.limit(0)
-            rule = f"cast({held.options.scope_column} AS string) = '{self.scope.strip().replace(chr(92), chr(92) * 2).replace(chr(39), chr(92) + chr(39))}'"
-            where = rule if not where else f"({where}) AND {rule}"
-        df, self.report = merge.scan(self.catalog, held, filters, where, columns, order_by, limit, late)
+            rule = self._mine(held)
+            column = held.options.scope_column
+            if column in held.pk and isinstance(held.schema()[column].dataType, T.StringType):
+                filters = [Filter(column, "=", self.scope.strip()), *filters]
+        df, self.report = merge.scan(self.catalog, held, filters, where, columns, order_by, limit, late, rule)
         return df
 
     def to_df(self) -> DataFrame:
@@ -137,11 +146,13 @@ class TieredTable:
 
     def page(self, after: tuple | None, rows: int) -> DataFrame:
         """Rows in key order behind a key: paging without offsets."""
-        held = self.snapshot
-        df = self._scoped(held, merge.scan(self.catalog, held)[0])
+        held, filters = self.snapshot, []
         if after is not None:
             if any(v is None for v in after) or len(after) != len(held.pk):
                 raise TierError("a page key needs a value for each key column")
+            filters = [Filter(held.pk[0], ">=", after[0])]  # prunes segments; the whole key decides
+        df = self._scoped(held, merge.scan(self.catalog, held, filters)[0])
+        if after is not None:
             kinds = {n: t for _, n, t in held.columns()}
             df = df.where(F.struct(*held.pk) > F.struct(*[F.lit(v).cast(kinds[k]).alias(k) for k, v in zip(held.pk, after, strict=True)]))
         return df.orderBy(*held.pk).limit(rows)
@@ -192,6 +203,18 @@ class TieredTable:
         return numbered, first + total - 1
 
     def _apply(self, rows: DataFrame, op: int, seq: str | None, check: bool = True) -> int:
+        return self._again(lambda: self._apply_once(rows, op, seq, check))
+
+    def _again(self, change: Callable[[], int]) -> int:
+        """A change that is made anew, on the newest version, if another writer was first."""
+        for _ in range(ATTEMPTS):
+            try:
+                return change()
+            except Conflict:
+                continue
+        raise Conflict(f"{ATTEMPTS} attempts were overtaken")
+
+    def _apply_once(self, rows: DataFrame, op: int, seq: str | None, check: bool) -> int:
         held = self.snapshot
         if held.kind == "user" and check:
             scope = need_scope(self.scope)
@@ -214,7 +237,8 @@ class TieredTable:
                 if held.hot and rows.join(hot.select(*pk), pk, "left_semi").limit(1).count():
                     raise TierError("duplicate key: already hot")
         else:
-            rows = rows.dropDuplicates(pk).join(hot.select(*pk), pk, "left_semi")
+            mine = hot.where(self._mine(held)) if held.kind == "user" and check else hot  # another scope's row of that key stays
+            rows = rows.dropDuplicates(pk).join(mine.select(*pk), pk, "left_semi")
         numbered, top = self._numbered(rows, held, seq)
         n = numbered.count()
         if not n:
@@ -247,6 +271,9 @@ class TieredTable:
         The last change of each key by seq counts. A batch number that has been applied, or seqs at or below the table's
         newest, are skipped, so that a repeated delivery changes nothing.
         """
+        return self._again(lambda: self._fold(changes, batch_id))
+
+    def _fold(self, changes: DataFrame, batch_id: int | None) -> int:
         held = self.snapshot
         if batch_id is not None and batch_id <= held.held["applied_batch"]:
             return 0
@@ -272,6 +299,9 @@ class TieredTable:
 
     def backfill(self) -> int:
         """Hot rows without an entry in the change index get one, as inserts in order of their seq; entries stay as they are."""
+        return self._again(self._backfill)
+
+    def _backfill(self) -> int:
         held = self.snapshot
         reader = merge.Reader(self.catalog, held)
         missing = reader.hot().select(*held.pk, SEQ).join(reader.index().select(*held.pk), held.pk, "left_anti").withColumn(OP, F.lit(INSERT).cast("short"))
@@ -284,9 +314,21 @@ class TieredTable:
 
     # flush and care
 
-    def flush(self, force: bool = False, now: dt.datetime | None = None) -> dict:
+    def flush(self, force: bool = False, now: dt.datetime | None = None, passes: int = 1) -> dict:
+        """Move rows to cold files, by policy or by ``force``; up to ``passes`` times while there is something to move."""
         self.snapshot  # noqa: B018  refuses a detached table
-        return flushing.flush(self.catalog, force, now)
+        done = flushing.flush(self.catalog, force, now)
+        for _ in range(passes - 1):
+            if done["status"] != "completed":
+                break
+            more = flushing.flush(self.catalog, force, now)
+            if more["status"] != "completed":
+                break
+            done = {**more, "rows": done["rows"] + more["rows"], "segments": done["segments"] + more["segments"]}
+        return done
+
+    def vacuum(self, older_than: dt.timedelta = dt.timedelta(days=1)) -> dict:
+        return care.vacuum(self.catalog, older_than)
 
     def status(self) -> dict:
         return care.status(self.catalog)
@@ -303,7 +345,7 @@ class TieredTable:
     # schema
 
     def _evolve(self, columns: list[dict]) -> None:
-        held = self.catalog.load()
+        held = self.catalog.load()  # two changes of the schema at once are refused, not merged
         draft = held.draft()
         version = max(map(int, draft["schemas"])) + 1
         draft["schemas"][str(version)], draft["schema_version"] = columns, version

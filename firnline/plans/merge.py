@@ -1,7 +1,7 @@
 """The latest state of a tiered table as one DataFrame.
 
     cold     = candidate segments, key predicates pushed into the scan
-    newest   = row_number over the key by descending seq, unless bounds prove keys apart
+    newest   = row_number over the key by descending seq, among segments that overlap in keys; the others as they are
     masked   = newest without deletes, anti-joined with hot keys and tombstones of the change index
     result   = hot rows + masked, then every predicate
 
@@ -21,7 +21,7 @@ from pyspark.sql import types as T
 
 from ..catalog import Catalog, Segment, Snapshot
 from ..model import DELETE, DELETED, OP, SEQ
-from .prune import Filter, candidates, filters_of, keys_apart, overall
+from .prune import Filter, candidates, filters_of, keys_apart, overall, overlapping
 
 #: Ordered keys of hot rows that the driver looks at to choose segments.
 MOST_ORDERED = 10_000
@@ -37,6 +37,7 @@ class Report:
     opened: int = 0
     files: list[str] = field(default_factory=list)
     deduplicated: bool = False
+    overlapping: int = 0
 
     @property
     def pruned(self) -> int:
@@ -98,13 +99,14 @@ class Reader:
         hot = where(self.hot())
         if not segments:
             return hot.select(*names)
-        cold = where(self.cold(segments))
-        again = not keys_apart(self.snapshot, segments)
-        if again:
+        alone, shared = overlapping(segments)
+        cold = where(self.cold(alone)) if alone else None
+        if shared:
             newest = Window.partitionBy(*pk).orderBy(F.col(SEQ).desc())
-            cold = cold.withColumn("_nth", F.row_number().over(newest)).where("_nth = 1").drop("_nth")
+            last = where(self.cold(shared)).withColumn("_nth", F.row_number().over(newest)).where("_nth = 1").drop("_nth")
+            cold = last if cold is None else cold.unionByName(last)
         if report is not None:
-            report.deduplicated = again
+            report.deduplicated, report.overlapping = bool(shared), len(shared)
         mask = hot.select(*pk).unionByName(where(self.index()).where(F.col(OP) == DELETE).select(*pk))
         return hot.select(*names).unionByName(cold.where(~F.col(DELETED)).join(mask, pk, "left_anti").select(*names))
 
@@ -118,7 +120,7 @@ def _ordering(order_by: list[tuple[str, bool]], pk: list[str]) -> list[Column]:
 def _competitive(reader: Reader, segments: list[Segment], filters: list[Filter], column: str, up: bool, limit: int) -> list[Segment]:
     """Segments that may hold one of the first ``limit`` rows. Ties and unknown bounds are kept."""
     snapshot = reader.snapshot
-    if limit > MOST_ORDERED or not keys_apart(snapshot, segments):
+    if limit > MOST_ORDERED or not keys_apart(segments):
         return segments
     at = snapshot.id_of(column)
     low = lambda s: s.bounds.get(at, (None, None, 0))
@@ -144,15 +146,16 @@ def _competitive(reader: Reader, segments: list[Segment], filters: list[Filter],
     return [s for s in segments if low(s)[2] or low(s)[0] is None or low(s)[1] is None or (low(s)[0] <= edge if up else low(s)[1] >= edge)]
 
 
-def scan(catalog: Catalog, snapshot: Snapshot, filters=None, where: str | None = None, columns: list[str] | None = None, order_by=None, limit: int | None = None, late: bool = False) -> tuple[DataFrame, Report]:
-    """The merged rows that pass ``filters`` and ``where``, in order and up to ``limit`` if asked for.
+def scan(catalog: Catalog, snapshot: Snapshot, filters=None, where: str | None = None, columns: list[str] | None = None, order_by=None, limit: int | None = None, late: bool = False, rule: Column | None = None) -> tuple[DataFrame, Report]:
+    """The merged rows that pass ``rule``, ``filters`` and ``where``, in order and up to ``limit`` if asked for.
 
+    ``rule`` is row security: a filter of its own ahead of the others, so that no text in ``where`` can widen it.
     ``order_by`` has (column, ascending) pairs. ``late`` picks the rows on narrow columns first and
     fetches the others for those alone.
     """
     filters, order_by = filters_of(filters), list(order_by or [])
     reader, report = Reader(catalog, snapshot), Report(strategy_of(snapshot, filters, order_by, limit))
-    tests = [f.expression() for f in filters] + ([F.expr(where)] if where else [])
+    tests = ([] if rule is None else [rule]) + [f.expression() for f in filters] + ([F.expr(where)] if where else [])
     passing = lambda df: reduce(DataFrame.where, tests, df)
     report.considered = len(snapshot.active)
     segments = candidates(snapshot, filters)
@@ -179,7 +182,7 @@ def scan(catalog: Catalog, snapshot: Snapshot, filters=None, where: str | None =
             return done(hot, [])
     elif report.strategy == "ordered_progressive" and segments:
         column, up = order_by[0]
-        near = _competitive(reader, segments, filters if not where else [], column, up, limit) if not where else segments
+        near = _competitive(reader, segments, filters, column, up, limit) if not where and rule is None else segments
         report.path = "ordered_merge_native" if near else "hot_native"
         if late:
             narrow = list(dict.fromkeys([*snapshot.pk, *(c for c, _ in order_by)]))

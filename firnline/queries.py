@@ -119,6 +119,21 @@ def documents_table(spark: SparkSession, sf_dir: str) -> TieredTable:
     return _fixture(spark, sf_dir, "documents", build)
 
 
+def lineitem_table(spark: SparkSession, sf_dir: str) -> TieredTable:
+    """Order lines, which have no key of their own, numbered; the newest tenth hot."""
+
+    def build(root: str) -> None:
+        lines = read(spark, sf_dir, "lineitem").withColumn("l_id", F.monotonically_increasing_id())
+        lines.write.parquet(f"{root}_numbered")
+        lines = spark.read.schema(lines.schema).parquet(f"{root}_numbered")
+        n = lines.count()
+        t = TieredTable.manage(spark, root, "lineitem", lines.schema, ["l_id"], Options(RowLimit(n // 10, 1, _file_rows(n), 1 << 40)))
+        t.insert(lines.withColumn("s", F.col("l_id") + 1), "s")
+        t.flush()
+
+    return _fixture(spark, sf_dir, "lineitem", build)
+
+
 def conversations_table(spark: SparkSession, sf_dir: str) -> TieredTable:
     """A key of two columns; first turns deleted while cold versions of them exist."""
 
@@ -169,8 +184,8 @@ def tier_reinsert(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Deleted keys come back by an insert while their tombstone is still in the change index or cold."""
 
     def build(root: str) -> None:
-        orders = read(spark, sf_dir, "orders").where("o_orderkey < 3000")
-        t = TieredTable.manage(spark, root, "reinsert", orders.schema, ["o_orderkey"], Options(RowLimit(0, 1, 1000, 1 << 40)))
+        orders = read(spark, sf_dir, "orders")
+        t = TieredTable.manage(spark, root, "reinsert", orders.schema, ["o_orderkey"], Options(RowLimit(0, 1, _file_rows(orders.count()), 1 << 40)))
         t.insert(orders)
         t.flush()
         gone = orders.where("o_orderkey % 11 = 0")
@@ -258,8 +273,8 @@ def flush_force_tombstones(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A forced flush of few tombstones moves those alone: what is cold, by operation."""
 
     def build(root: str) -> None:
-        orders = read(spark, sf_dir, "orders").where("o_orderkey < 2000")
-        t = TieredTable.manage(spark, root, "tombstones", orders.schema, ["o_orderkey"], Options(RowLimit(0, 1, 1000, 1 << 40)))
+        orders = read(spark, sf_dir, "orders")
+        t = TieredTable.manage(spark, root, "tombstones", orders.schema, ["o_orderkey"], Options(RowLimit(0, 1, _file_rows(orders.count()), 1 << 40)))
         t.insert(orders)
         t.flush()
         t.insert(orders.where("o_orderkey < 100"))
@@ -320,13 +335,47 @@ def ops_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
     t = orders_table(spark, sf_dir)
     care.export_manifest(t.catalog)
     held = care.read_manifest(t.catalog)
-    return spark.createDataFrame([(s["path"], s["row_count"], s["min_seq"], s["max_seq"]) for s in held["segments"]], "path string, row_count long, min_seq long, max_seq long")
+    rows = spark.createDataFrame([(s["path"], s["row_count"], s["min_seq"], s["max_seq"]) for s in held["segments"]], "path string, row_count long, min_seq long, max_seq long")
+    return rows.agg(F.sum("row_count").alias("rows"), F.min("min_seq").alias("lo"), F.max("max_seq").alias("hi"), (F.countDistinct("path") == len(held["segments"])).alias("apart"))
 
 
 def ops_jobs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return orders_table(spark, sf_dir).jobs(["completed"], ["flush"]).groupBy("type", "status").agg(F.count("*").alias("n"), F.sum("rows").alias("rows"))
 
 
+def tier_limit_hot_first(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Which rows an unordered limit gives is open: how many they are, and how many of them the table doesn't have."""
+    t = orders_table(spark, sf_dir)
+    some = t.scan(limit=100)
+    wrong = some.exceptAll(t.scan()).agg(F.count("*").alias("wrong"))
+    return some.agg(F.count("*").alias("n")).join(wrong)
+
+
+def flush_concurrent(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Rows that are inserted, updated and deleted while a flush is at work."""
+
+    def build(root: str) -> None:
+        from .operators import flush as flushing
+
+        orders = read(spark, sf_dir, "orders")
+        n, k = orders.count(), F.col("o_orderkey")
+        t = TieredTable.manage(spark, root, "concurrent", orders.schema, ["o_orderkey"], Options(RowLimit(0, 1, _file_rows(n), 1 << 40)), rows=orders.where(k < n - 500))
+        other = TieredTable(spark, root)
+
+        def change() -> None:
+            other.insert(orders.where(k >= n - 500))
+            other.update(_changed(orders.where(k % 7 == 0)))
+            other.delete(orders.where(k % 11 == 0))
+
+        flushing.FAILPOINTS["before_activate"] = change
+        try:
+            t.flush(force=True)
+        finally:
+            flushing.FAILPOINTS.clear()
+
+    return _fixture(spark, sf_dir, "concurrent", build).scan()
+
+
 def tier_rehydrate(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The latest rows written back to a plain table on detaching."""
     key = (spark.sparkContext.applicationId, sf_dir, "rehydrated")
@@ -356,7 +405,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "tier_topk_asc": _orders(lambda t, n: t.scan(order_by=[("o_orderkey", True)], limit=50)),
     "tier_topk_desc": _orders(lambda t, n: t.scan(order_by=[("o_orderkey", False)], limit=50)),
     "tier_late_mat": _orders(lambda t, n: t.scan(order_by=[("o_orderdate", False), ("o_orderkey", True)], limit=50, late=True)),
-    "tier_limit_hot_first": _orders(lambda t, n: t.scan(limit=100)),
+    "tier_limit_hot_first": tier_limit_hot_first,
     "tier_page": _orders(lambda t, n: t.page((500,), 40)),
     "tier_cold_tombstone": _orders(lambda t, n: t.scan([("o_orderkey", "<", (n - 1000) // 3)])),
     "tier_reinsert": tier_reinsert,
@@ -367,6 +416,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "tier_events_range": lambda s, d: events_table(s, d).scan([("event_id", "between", (100, 900))], where="value > 50"),
     "tier_composite_pk": lambda s, d: conversations_table(s, d).scan(),
     "tier_scope": lambda s, d: documents_table(s, d).in_scope("src3").scan(),
+    "tier_scope_where": lambda s, d: documents_table(s, d).in_scope("src3").scan(where="lang = 'en' OR source <> 'src3' OR true"),
     "tier_scope_unset": lambda s, d: documents_table(s, d).scan().agg(F.count("*").alias("n")),
     "tier_scope_feed": lambda s, d: documents_table(s, d).in_scope("src3").changes_since(limit_rows=1 << 30).select(F.get_json_object("pk", "$.doc_id").cast("long").alias("doc_id"), F.col("op").cast("int").alias("op"), "source"),
     "tier_rename_col": lambda s, d: evolved_table(s, d).scan(columns=["c_custkey", "full_name"]),
@@ -380,6 +430,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "flush_row_limit": flush_row_limit,
     "flush_older_than": flush_older_than,
     "flush_force_tombstones": flush_force_tombstones,
+    "flush_concurrent": flush_concurrent,
     "capture_latest_state": capture_latest_state,
     "capture_rows": captured_rows,
     "capture_backfill": capture_backfill,
@@ -415,12 +466,15 @@ ORACLE_SQL: dict[str, str] = {
     "tier_cold_tombstone": f"SELECT * FROM ({LOGICAL}) WHERE o_orderkey < ({_N} - 1000) // 3",
     "tier_reinsert": """SELECT o_orderkey, o_custkey, CASE WHEN o_orderkey % 11 = 0 AND o_orderkey % 5 = 0 AND (o_orderkey % 2 <> 0 OR o_orderkey % 4 = 0) THEN 'R' ELSE o_orderstatus END AS o_orderstatus,
  o_totalprice, o_orderdate, o_orderpriority FROM orders
- WHERE o_orderkey < 3000 AND (o_orderkey % 11 <> 0 OR o_orderkey % 2 = 0 AND o_orderkey % 4 <> 0 OR o_orderkey % 5 = 0 AND (o_orderkey % 2 <> 0 OR o_orderkey % 4 = 0))""",
+ WHERE o_orderkey % 11 <> 0 OR o_orderkey % 2 = 0 AND o_orderkey % 4 <> 0 OR o_orderkey % 5 = 0 AND (o_orderkey % 2 <> 0 OR o_orderkey % 4 = 0)""",
     **{f"tier_state_{s}": _GROUP.format(_PLAIN) for s in ("hot", "mixed", "cold")},
     "tier_events_recent": f"{EVENTS} ORDER BY ts DESC, event_id DESC LIMIT 50",
     "tier_events_range": f"{EVENTS} WHERE event_id BETWEEN 100 AND 900 AND value > 50",
     "tier_composite_pk": "SELECT conv_id, turn, role, text FROM conversations WHERE turn <> 0",
     "tier_scope": "SELECT doc_id, text, lang, source, n_chars FROM documents WHERE source = 'src3'",
+    "tier_scope_where": "SELECT doc_id, text, lang, source, n_chars FROM documents WHERE source = 'src3'",
+    "tier_limit_hot_first": "SELECT CAST(100 AS BIGINT) AS n, CAST(0 AS BIGINT) AS wrong",
+    "flush_concurrent": LOGICAL,
     "tier_scope_unset": "SELECT CAST(0 AS BIGINT) AS n",
     "tier_scope_feed": "SELECT doc_id, 1 AS op, 'cold' AS source FROM documents WHERE source = 'src3'",
     "tier_rename_col": "SELECT c_custkey, c_name AS full_name FROM customer",
@@ -433,7 +487,7 @@ ORACLE_SQL: dict[str, str] = {
     "feed_hot_only": f"SELECT * FROM ({FEED}) WHERE seq > 4 * {_N}",
     "flush_row_limit": f"SELECT CASE WHEN o_orderkey < {_N} - {_N} // 2 THEN 'cold' ELSE 'hot' END AS side, count(*) AS n, min(o_orderkey) + 1 AS lo, max(o_orderkey) + 1 AS hi FROM orders GROUP BY 1",
     "flush_older_than": "SELECT event_id FROM events WHERE date_trunc('millisecond', ts) < (SELECT date_trunc('millisecond', max(ts)) - INTERVAL 10 DAY FROM events)",
-    "flush_force_tombstones": "SELECT op, count(*) AS n FROM (SELECT 1 AS op FROM orders WHERE o_orderkey < 2000 UNION ALL SELECT 3 FROM orders WHERE o_orderkey < 40) GROUP BY op",
+    "flush_force_tombstones": "SELECT op, count(*) AS n FROM (SELECT 1 AS op FROM orders UNION ALL SELECT 3 FROM orders WHERE o_orderkey < 40) GROUP BY op",
     "capture_latest_state": """SELECT event_id, CASE WHEN event_id % 5 = 0 THEN event_id + 2 * n + 1 WHEN event_id % 3 = 0 THEN event_id + n + 1 ELSE event_id + 1 END AS seq,
  CASE WHEN event_id % 5 = 0 THEN 3 WHEN event_id % 3 = 0 THEN 2 ELSE 1 END AS op FROM events, (SELECT count(*) AS n FROM events)""",
     "capture_rows": "SELECT event_id, user_id, event_type, CASE WHEN event_id % 3 = 0 THEN value + 1 ELSE value END AS value FROM events WHERE event_id % 5 <> 0",
@@ -441,6 +495,10 @@ ORACLE_SQL: dict[str, str] = {
     **{f"equality_state_{s}": f"SELECT {O_COLS}, '' AS side FROM orders WHERE false" for s in ("hot", "mixed", "cold")},
     "ops_status": f"""SELECT 'cold_rows' AS counter, CAST(count(*) AS BIGINT) AS value FROM ({FEED}) WHERE source = 'cold' UNION ALL SELECT 'cold_tombstones', count(*) FROM ({FEED}) WHERE source = 'cold' AND deleted
  UNION ALL SELECT 'hot_rows', count(*) FROM ({FEED}) WHERE source = 'hot' AND NOT deleted UNION ALL SELECT 'pending_changes', count(*) FROM ({FEED}) WHERE source = 'hot'""",
+    "ops_integrity": "SELECT unnest(['one_active_schema', 'at_most_one_active_flush_job', 'active_segments_have_path_and_rows', 'no_stale_pending_segments', 'no_duplicate_active_path', 'active_segment_files_exist', 'seq_ranges_are_ordered', 'segment_counts_match_files', 'no_version_is_stored_twice', 'hot_keys_are_unique', 'one_change_for_each_key']) AS name, true AS ok, CAST(0 AS BIGINT) AS wrong",
+    "ops_manifest": f"SELECT count(*) AS rows, min(seq) AS lo, max(seq) AS hi, true AS apart FROM ({FEED}) WHERE source = 'cold'",
+    "ops_jobs": f"""SELECT 'flush' AS type, 'completed' AS status, CAST(CASE WHEN count(*) FILTER (WHERE deleted) > 4096 THEN 2 ELSE 3 END AS BIGINT) AS n, count(*) AS rows
+ FROM ({FEED}) WHERE source = 'cold'""",
     "ops_recover": "SELECT 'staged' AS kind, CAST(0 AS BIGINT) AS files UNION ALL SELECT 'orphans', 0",
 }
 
@@ -451,6 +509,8 @@ def _surface(body: str) -> Callable[[SparkSession, str], DataFrame]:
             read(spark, sf_dir, name).createOrReplaceTempView(name)
         orders_table(spark, sf_dir).scan().createOrReplaceTempView("orders_t")
         events_table(spark, sf_dir).scan().createOrReplaceTempView("events_t")
+        if "lineitem_t" in body:
+            lineitem_table(spark, sf_dir).scan().createOrReplaceTempView("lineitem_t")
         return spark.sql(body)
 
     return query
@@ -458,4 +518,4 @@ def _surface(body: str) -> Callable[[SparkSession, str], DataFrame]:
 
 for _name, (_spark, _duck) in {**SURFACE, **CH}.items():
     QUERIES[_name] = _surface(_spark)
-    ORACLE_SQL[_name] = tiered_sql(_duck, orders_t=LOGICAL, events_t=EVENTS)
+    ORACLE_SQL[_name] = tiered_sql(_duck, orders_t=LOGICAL, events_t=EVENTS, lineitem_t="SELECT * FROM lineitem")

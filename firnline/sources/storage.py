@@ -5,6 +5,7 @@ from __future__ import annotations
 import atexit
 import shutil
 import tempfile
+import uuid
 
 from pyspark.sql import SparkSession
 
@@ -50,16 +51,55 @@ class Store:
         finally:
             stream.close()
 
+    def modified(self, name: str) -> float:
+        """Seconds since 1970 at which a file or folder was last changed."""
+        return self._fs.getFileStatus(self._at(name)).getModificationTime() / 1000
+
+    def _fill(self, stream, text: str) -> None:
+        try:
+            stream.write(bytearray(text.encode()))
+        finally:
+            stream.close()
+
     def create(self, name: str, text: str, replace: bool = False) -> bool:
-        """Write a small file; False if it is there already and mustn't be replaced."""
+        """Write a small file; False if it is there already and mustn't be replaced.
+
+        Without ``replace`` a file appears whole or not at all, and of several writers one wins: by a conditional put
+        on object stores, else by a file written aside that is linked or renamed without replacing.
+        """
+        at, scheme = self._at(name), self._fs.getUri().getScheme()
+        if replace:
+            self._fill(self._fs.create(at, True), text)
+            return True
         try:
-            stream = self._fs.create(self._at(name), replace)
+            if scheme in ("s3", "s3a"):
+                self._fill(self._fs.createFile(at).overwrite(False).must("fs.option.create.conditional.overwrite", True).recursive().build(), text)
+                return True
+            if scheme == "gs":  # the connector's create is conditional, and the object appears when it is closed
+                self._fill(self._fs.create(at, False), text)
+                return True
+        except Exception as e:
+            if any(x in str(e) for x in ("exist", "412", "409")):
+                return False
+            raise
+        aside = self._at(f"{name.rpartition('/')[0]}/_aside-{uuid.uuid4().hex}".lstrip("/"))
+        self._fill(self._fs.create(aside, False), text)
+        jvm = self.spark._jvm
+        try:
+            if scheme == "file":
+                local = lambda p: jvm.java.io.File(p.toUri().getPath()).toPath()
+                jvm.java.nio.file.Files.createLink(local(at), local(aside))
+            else:
+                options = jvm.org.apache.hadoop.fs.Options
+                none = self.spark.sparkContext._gateway.new_array(options.Rename, 0)
+                jvm.org.apache.hadoop.fs.FileContext.getFileContext(self._fs.makeQualified(at).toUri(), self.spark._jsc.hadoopConfiguration()).rename(aside, at, none)
+                return True
         except Exception as e:
             if "exist" in str(e).lower():
                 return False
             raise
-        stream.write(bytearray(text.encode()))
-        stream.close()
+        finally:
+            self._fs.delete(aside, False)
         return True
 
     def move(self, name: str, to: str) -> None:
@@ -75,9 +115,11 @@ class Store:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The cluster's shared folder, or a temporary one where none is configured."""
+    """The cluster's shared folder, or a temporary one where none is configured and all runs on one machine."""
     path = spark.conf.get("spark.checkpoint.dir", None)
     if not path:
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that driver and executors share")
         path = tempfile.mkdtemp(prefix="firnline-tables-")
         atexit.register(shutil.rmtree, path, ignore_errors=True)
         spark.conf.set("spark.checkpoint.dir", path)

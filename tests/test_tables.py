@@ -73,11 +73,11 @@ def test_pruning_keeps_what_it_cannot_rule_out(spark, tmp_path):
     t, _ = make(spark, tmp_path, ROWS)
     t.flush(force=True)
     held = t.snapshot
-    assert len(held.active) == 5 and keys_apart(held, held.active)
+    assert len(held.active) == 5 and keys_apart(held.active)
     assert got(t.scan([("id", "=", 9)])) == [(9, "row-9", 2)]
     assert (t.report.considered, t.report.opened, t.report.strategy) == (5, 1, "exact_primary_key")
     assert len(candidates(held, [Filter("id", ">", 20)])) == 1  # open bounds are widened
-    assert cold_proven_empty(held, [("id", ">=", 21)]) and not cold_proven_empty(held, [("id", "in", (99,))])
+    assert cold_proven_empty(held, [("id", ">=", 21)]) and cold_proven_empty(held, [("id", "in", (99,))]) and not cold_proven_empty(held, [("id", "in", (9, 99))])
     held.segments[0].bounds[1] = (None, None, 0)
     assert len(candidates(held, [Filter("id", "=", 9)], held.segments)) == 2
     with pytest.raises(TierError, match="inverted"):
@@ -171,6 +171,39 @@ def test_scope(spark, tmp_path):
     assert t.in_scope("user-a' OR '1'='1").scan().count() == 0
 
 
+def notes(spark, tmp_path, pk):
+    rows = [(i, f"user-{'ab'[i % 2]}", f"t{i}") for i in range(1, 21)]
+    df = spark.createDataFrame(rows, "id long, user_id string, title string")
+    t = TieredTable.manage(spark, str(tmp_path / "n"), "notes", df.schema, pk, Options(RowLimit(0, 1, 4), scope_column="user_id"), "user", df)
+    t.flush(force=True)
+    t._apply(spark.createDataFrame([(i, f"user-{'ab'[i % 2]}", "hot") for i in range(19, 25)], df.schema), 1, None, check=False)
+    return t, df
+
+
+@pytest.mark.parametrize(("where", "pk"), [("true OR user_id <> 'user-a'", ["id"]), ("NOT (user_id = 'user-a') OR title LIKE 't%'", ["user_id", "id"])])
+def test_no_filter_reaches_beyond_the_scope(spark, tmp_path, where, pk):
+    """Cold, hot and shadowed rows, by each strategy."""
+    t, _ = notes(spark, tmp_path, pk)
+    a = t.in_scope("user-a")
+    mine = lambda df: {r["user_id"] for r in df.collect()} <= {"user-a"}
+    assert mine(a.scan(where=where)) and mine(a.scan([("id", "=", 3)], where=where)) and mine(a.scan([("id", "=", 23)], where=where)) and mine(a.scan(where=where, limit=50))
+    assert mine(a.scan(where=where, order_by=[("id", False)], limit=50)) and mine(a.scan(where=where, order_by=[("id", True)], limit=50, late=True)) and mine(a.page(None, 50))
+    for text in ("true) OR (true", "1=1) OR (1=1", "true); --", "true) OR user_id IN ('user-b'"):
+        with pytest.raises(Exception):  # noqa: B017
+            a.scan(where=text).collect()
+    assert [r["id"] for r in a.scan(order_by=[("id", False)], limit=3).collect()] == [24, 22, 20]
+    assert t.scan(where=where).count() == 0 and t.in_scope("").scan(where=where).count() == 0
+
+
+def test_a_scope_does_not_change_rows_of_another(spark, tmp_path):
+    t, df = notes(spark, tmp_path, ["id"])
+    a = t.in_scope("user-a")
+    assert a.update(spark.createDataFrame([(19, "user-a", "taken")], df.schema)) == 0  # 19 is user-b's
+    assert a.delete(spark.createDataFrame([(21, "user-a", "")], df.schema)) == 0
+    assert a.update(spark.createDataFrame([(20, "user-a", "own")], df.schema)) == 1
+    assert {r["id"]: r["title"] for r in t.in_scope("user-b").scan([("id", ">=", 19)]).collect()} == {19: "hot", 21: "hot", 23: "hot"}
+
+
 def test_refused_at_registration(spark, tmp_path):
     df = spark.createDataFrame([(1, "a"), (1, "b")], "id long, s string")
     opt = Options(RowLimit(1))
@@ -226,6 +259,121 @@ def test_a_failed_flush_loses_nothing_and_is_cleaned_up(spark, tmp_path, point):
     assert t.flush(force=True)["ok"] and got(t.scan()) == ROWS and t.verify()["ok"]
 
 
+@pytest.mark.parametrize(("point", "kind"), [("staged", "all"), ("published", "insert"), ("before_activate", "capture")])
+def test_changes_during_a_flush_lose_nothing(spark, tmp_path, point, kind):
+    t, df = make(spark, tmp_path, ROWS)
+    other, twin = TieredTable(spark, t.catalog.store.root), {r[0]: r for r in ROWS}
+    new = lambda *rows: spark.createDataFrame(list(rows), df.schema)
+
+    def change():
+        if kind in ("insert", "all"):
+            other.insert(new((100, "new", 0)))
+            twin[100] = (100, "new", 0)
+        if kind in ("update", "all"):
+            assert other.update(new((3, "changed", 0), (20, "changed", 1))) == 2
+            twin.update({3: (3, "changed", 0), 20: (20, "changed", 1)})
+        if kind in ("delete", "all"):
+            assert other.delete(new((5, "", 0)).select("id")) == 1
+            del twin[5]
+        if kind == "capture":
+            top = other.snapshot.held["max_seq"]
+            other.apply_changes(spark.createDataFrame([(7, "folded", 0, top + 1, 2), (8, None, None, top + 2, 3), (101, "n", 1, top + 3, 1)], "id long, body string, qty int, seq long, op int"), 0)
+            twin.update({7: (7, "folded", 0), 101: (101, "n", 1)})
+            del twin[8]
+
+    flushing.FAILPOINTS[point] = change
+    try:
+        assert t.flush(force=True)["rows"] == 20
+    finally:
+        flushing.FAILPOINTS.clear()
+    assert got(t.scan()) == sorted(twin.values()) and t.verify()["ok"] and t.recover()["quarantined"] == []
+    assert t.flush(force=True, passes=5)["ok"] and got(t.scan()) == sorted(twin.values()) and t.status()["pending_changes"] == 0
+
+
+def test_jobs_are_taken_up_and_taken_over(spark, tmp_path):
+    import datetime as dt
+
+    from firnline.operators import schedule
+
+    t, _ = make(spark, tmp_path, ROWS, policy=RowLimit(0, 1, 4, 8))
+    job = care.enqueue_flush(t.catalog)
+    done = schedule.tick([t])["t"]
+    assert done["job_id"] == job and done["rows"] == 8 and t.jobs(["completed"]).count() == 1
+    assert schedule.candidate(t) and schedule.tick([t])["t"]["rows"] == 8  # not blocked by what has ended
+    held = t.catalog.load()
+    draft = held.draft()
+    draft["jobs"].append({"id": "dead", "type": "flush", "status": "running", "token": "x", "rows": 1, "error": None, "created_at": "2020-01-01T00:00:00+00:00", "lease_until": (dt.datetime.now(dt.UTC) + dt.timedelta(hours=1)).isoformat()})
+    t.catalog.publish(draft, held.version)
+    assert t.flush()["status"] == "busy" and not schedule.candidate(t)
+    held = t.catalog.load()
+    draft = held.draft()
+    draft["jobs"][-1]["lease_until"] = "2020-01-01T01:00:00+00:00"
+    t.catalog.publish(draft, held.version)
+    assert t.flush()["ok"] and {r["id"] for r in t.jobs(["failed"]).collect()} == {"dead"} and t.scan().count() == 20
+    t.insert(spark.createDataFrame([(100, "x", 1)], "id long, body string, qty int"))
+    flushing.FAILPOINTS["before_activate"] = lambda: care.cancel_job(t.catalog)
+    try:
+        with pytest.raises(flushing.Lost):
+            t.flush(force=True)
+    finally:
+        flushing.FAILPOINTS.clear()
+    assert t.scan().count() == 21 and t.jobs(["cancelled"]).count() == 1
+
+
+def test_one_of_many_creators_wins_and_its_file_is_whole(spark, tmp_path):
+    from concurrent.futures import ThreadPoolExecutor
+
+    from firnline.sources.storage import Store
+
+    store = Store(spark, str(tmp_path))
+    for k in range(3):
+        with ThreadPoolExecutor(8) as pool:
+            won = list(pool.map(lambda i, k=k: store.create(f"c/v{k}.json", f"{i}" * 1000), range(8)))
+        assert sum(won) == 1 and store.read(f"c/v{k}.json") == f"{won.index(True)}" * 1000
+    assert store.names("c") == ["v0.json", "v1.json", "v2.json"]
+
+
+def test_only_overlapping_segments_are_deduplicated(spark, tmp_path):
+    rows = [(t, i, f"{t}-{i}") for t in ("a", "b") for i in range(20)]
+    t, df = make(spark, tmp_path, rows, "tenant string, id long, body string", ("tenant", "id"), RowLimit(0, 1, 5, 1 << 40))
+    t.flush(force=True)
+    assert len(t.snapshot.active) == 8
+    plan = t.scan()._jdf.queryExecution().executedPlan().toString()
+    assert not t.report.deduplicated and "Window" not in plan  # though first key columns overlap
+    t.insert(df.where("tenant = 'a' AND id BETWEEN 7 AND 8").withColumn("body", F.lit("new")))
+    t.flush(force=True)
+    found = {r[:2]: r[2] for r in got(t.scan())}
+    assert t.report.deduplicated and t.report.overlapping == 2 and t.report.opened == 9
+    assert found == {r[:2]: "new" if r[0] == "a" and r[1] in (7, 8) else r[2] for r in rows}
+    assert got(t.scan([("id", "in", (3, 99))])) == [("a", 3, "a-3"), ("b", 3, "b-3")] and t.report.opened == 2
+    assert t.changes_since(0, 7).count() == 7
+
+
+def test_the_nth_seq_needs_no_sort(spark):
+    r = random.Random(4)
+    for n, spread in ((1, 10), (50, 30), (30_000, 1 << 60), (30_000, 500)):
+        values = sorted(r.randrange(spread) for _ in range(n))
+        df = spark.createDataFrame([(v,) for v in values], f"{SEQ} long")
+        for k in {1, n, (n + 1) // 2, max(1, n - 1)}:
+            assert flushing.nth(df, k) == values[k - 1]
+        assert flushing.nth(df, n + 1) is None
+
+
+def test_vacuum_keeps_what_a_version_names(spark, tmp_path):
+    import datetime as dt
+
+    t, df = make(spark, tmp_path, ROWS)
+    for i in range(3):
+        t.update(df.where(f"id = {i + 1}").withColumn("body", F.lit("u")))
+    want = got(t.scan())
+    assert t.vacuum() == {"files": [], "versions": []}  # nothing is a day old
+    found = t.vacuum(dt.timedelta(0))
+    assert found["versions"] and {f.split("/")[0] for f in found["files"]} == {"hot", "index", "_changes"}
+    assert got(t.scan()) == want and t.verify()["ok"] and len(t.catalog.versions()) == 1 and len(t.catalog.store.names("hot")) == 1
+    t.flush(force=True)
+    assert got(t.scan()) == want and t.vacuum(dt.timedelta(0))["files"]
+
+
 def test_two_writers_of_one_version(spark, tmp_path):
     from firnline.catalog import Conflict
 
