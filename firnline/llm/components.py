@@ -1,4 +1,8 @@
-"""Connected components of an edge table by alternating large-star and small-star steps."""
+"""Connected components of an edge table by alternating large-star and small-star steps.
+
+Repeated edges count once; an edge from a node to itself, or with a null end, names no component. An empty table gives no rows. Other
+columns are not read.
+"""
 
 from __future__ import annotations
 

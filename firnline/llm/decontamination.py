@@ -10,7 +10,7 @@ Items are broadcast in blocks of at most ``ITEM_BYTES`` of text; a larger benchm
 one pass over the documents for each block.
 
 A null text has no words. An item without words, and an empty item table, match nothing. Repeated rows are each
-judged; repeated item ids count once. Very long texts are taken whole.
+judged; repeated item ids count once, and of items with equal texts each is listed. Very long texts are taken whole. Further columns stay as they are.
 """
 
 from __future__ import annotations

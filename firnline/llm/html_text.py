@@ -7,7 +7,8 @@ within menus, headers, footers, sidebars, notices, adverts, forms and reader com
 names and layouts. Training is deterministic and takes seconds; the weights go to every task.
 
 A null or empty page, or one without any block of the article, has an empty text. Repeated rows
-are extracted each. Very long pages are read whole. Extra columns are dropped.
+are extracted each. Very long pages are read whole. Extra columns are dropped; an empty table gives no rows. A line break
+element ends a block. What is in formulas, objects and elements for pages without scripts is labelled like any other block.
 """
 
 from __future__ import annotations
@@ -36,7 +37,7 @@ BLOCKS = frozenset(
     "address article aside blockquote body br button caption center dd details dialog dir div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 head header hr html iframe input "
     "label legend li main menu nav ol option p pre section select summary table tbody td textarea tfoot th thead title tr ul video audio object".split()
 )
-SILENT = frozenset("script style template noscript svg math iframe object textarea select".split())
+SILENT = frozenset("script style template svg iframe textarea select".split())
 RAW = frozenset("script style textarea iframe".split())
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 ENDED_BY = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}, "option": {"option"}}
@@ -204,7 +205,7 @@ class Labeller:
             x[: len(p), i], mask[: len(p), i] = p, 1
         return x, mask
 
-    def _run(self, d: str, x: np.ndarray, mask: np.ndarray) -> tuple[np.ndarray, list]:
+    def _run(self, d: str, x: np.ndarray, mask: np.ndarray, learning: bool = True) -> tuple[np.ndarray, list]:
         t, n, _ = x.shape
         drive = x @ self.p[f"{d}W"] + self.p[f"{d}c"]
         h, c = np.zeros((n, HIDDEN), np.float32), np.zeros((n, HIDDEN), np.float32)
@@ -215,7 +216,8 @@ class Labeller:
             g = np.tanh(a[:, 3 * HIDDEN :])
             new = s[:, HIDDEN : 2 * HIDDEN] * c + s[:, :HIDDEN] * g
             squashed = np.tanh(new)
-            trace.append((i, h, c, s, g, squashed))
+            if learning:
+                trace.append((i, h, c, s, g, squashed))
             m = mask[i]
             c = m * new + (1 - m) * c
             h = m * s[:, 2 * HIDDEN :] * squashed + (1 - m) * h
@@ -240,7 +242,7 @@ class Labeller:
         into[f"{d}c"] += da.sum(axis=(0, 1))
 
     def logits(self, x: np.ndarray, mask: np.ndarray) -> np.ndarray:
-        both = np.concatenate([self._run(d, x, mask)[0] for d in "fb"], axis=2)
+        both = np.concatenate([self._run(d, x, mask, False)[0] for d in "fb"], axis=2)
         return (both @ self.p["o"] + self.p["z"])[..., 0]
 
     def learn(self, x: np.ndarray, mask: np.ndarray, y: np.ndarray) -> tuple[float, dict]:

@@ -5,7 +5,8 @@ as a mono 8-bit WAV file. Features come from the bytes that are read back: polyp
 resampling, overlapped log-mel bands, energy segments with hysteresis. Each row carries
 a fixed-shape tensor (``SLICES`` x ``BANDS``) with the time span of each slice.
 
-Nulls count as empty texts (one block of 64 zero bytes). Equal texts give equal values.
+Nulls count as empty texts (one block of 64 zero bytes). Equal texts give equal values, and repeated rows a row each; a constant
+signal is one segment. Very long texts are stored and measured whole, frames in strips. Extra columns are dropped; an empty table gives no rows.
 """
 
 from __future__ import annotations

@@ -6,8 +6,8 @@ equal sequences. Sets that provably dominate all alternatives for a piece (Marte
 are fixed first, and best-fit decreasing packs what is left. Pieces learn their place from
 their rank among pieces of equal length; no row of a document is ever collected.
 
-A null or empty text is one piece, the end id alone. Repeated rows are packed each. An empty table
-gives no rows; extra columns are dropped.
+A null or empty text is one piece, the end id alone. Repeated rows are packed each; pieces of equal length take places in any order.
+Very long texts are encoded whole and cut after that. An empty table gives no rows; extra columns are dropped.
 """
 
 from __future__ import annotations

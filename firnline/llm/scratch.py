@@ -21,12 +21,14 @@ from pyspark.sql.types import IntegerType, LongType, StructField, StructType, _p
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The cluster's shared folder; a temporary one only where none is configured."""
+    """The cluster's shared folder; a temporary one only where none is configured and all runs on one machine."""
     path = spark.conf.get("spark.checkpoint.dir", None)
     if not path:
         held = spark.sparkContext._jsc.sc().getCheckpointDir()
         if held.isDefined():
             return str(held.get())
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that driver and executors share")
         path = tempfile.mkdtemp(prefix="firnline-")
         atexit.register(shutil.rmtree, path, ignore_errors=True)
     if not spark.sparkContext._jsc.sc().getCheckpointDir().isDefined():
