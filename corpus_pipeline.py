@@ -14,28 +14,42 @@ from firnline.llm.scratch import settle, table
 
 
 def keep_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the quality classifier accepts. It learns from the labelled ones outside its held-out fold."""
+    """Documents that the quality classifier accepts. It learns from the labelled ones outside its held-out fold.
+
+    Null and empty texts are judged as empty ones; rows without doc_id and repeated rows each by their own text; without labels all stay
+    or none, by the share of label 1. An empty table stays empty; further columns stay.
+    """
     return quality.accepted(docs, table(spark, sf_dir, "labels"))
 
 
 def keep_one_of_alike(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each component of near-duplicate links the document with the least id."""
+    """Of each component of near-duplicate links the document with the least id.
+
+    Null and empty texts are linked with nothing and stay, and so do rows without doc_id; rows that repeat entirely
+    are one document and stay as they are. An empty table stays empty; further columns stay.
+    """
     return jaccard_join.representatives(docs)
 
 
 def keep_uncontaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that share no window of words with the benchmark."""
+    """Documents that share no window of words with the benchmark.
+
+    Null and empty texts share none; repeated rows and rows without doc_id are judged each. Without items all stay. Further columns stay.
+    """
     return decontamination.clean(docs, table(spark, sf_dir, "benchmark"))
 
 
 def mask_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """All documents, secrets replaced in their texts; n_chars follows the text."""
+    """All documents, secrets replaced in their texts; n_chars follows the text.
+
+    A null text stays null, with a null n_chars; repeated rows and rows without doc_id are masked each. An empty table stays empty; further columns stay.
+    """
     masked = secrets.mask(docs)
     return masked.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType)).select(*docs.columns)
 
 
 def pack_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Pieces of documents in training sequences."""
+    """Pieces of documents in training sequences. A null or empty text is one piece, its end; repeated rows are packed each. Further columns are dropped."""
     import public_tokenizers
 
     return packing.pack(docs, public_tokenizers.path("word_bpe_49k.json"))
