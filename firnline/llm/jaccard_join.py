@@ -337,9 +337,13 @@ def _sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([*batch.columns[1:], pa.array(items, pa.binary())], names=[*batch.schema.names[1:], "items"])
 
 
-def _classed(mine: DataFrame, classes: DataFrame) -> DataFrame:
-    """Each document with its class. Classes of a thousandth of all documents or more, at most a thousand, are broadcast, so that none meets in one task."""
-    keys, often = ["d1", "d2"], max(1000, mine.count() // 1000)
+#: Documents of a class from which it is broadcast, if they are a thousandth of all, too.
+OFTEN = 1000
+
+
+def _classed(mine: DataFrame, classes: DataFrame, often: int) -> DataFrame:
+    """Each document with its class. Classes of ``often`` documents or more, at most a thousand, are broadcast, so that none meets in one task."""
+    keys = ["d1", "d2"]
     classes = settle(classes, "sets")
     hot = F.broadcast(classes.where(F.col("copies") >= often))
     rest = mine.join(hot.select(*keys), keys, "left_anti").join(classes.where(F.col("copies") < often), keys, "left")
@@ -356,7 +360,8 @@ def join(docs: DataFrame) -> DataFrame:
     signed = settle(docs.mapInArrow(_signed, _ROWS).repartition("key").mapInArrow(_starred, _ROWS), "signed")
     mine = signed.where(f"kind = {_DOC}").selectExpr("doc", "size", "d1", "d2")
     classes = mine.where("size > 0 AND doc IS NOT NULL").groupBy("d1", "d2").agg(F.min("doc").alias("rep"), F.countDistinct("doc").alias("copies"))
-    known = settle(_classed(mine, classes).select("doc", "size", "rep", "copies"), "classes")
+    often = max(OFTEN, mine.count() // 1000)
+    known = settle(_classed(mine, classes, often).select("doc", "size", "rep", "copies"), "classes")
     rep_of = known.where("rep IS NOT NULL").select("doc", "rep").distinct()
     edges = signed.where(f"kind = {_EDGE}").selectExpr("key AS a", "doc AS b").distinct()
     edges = edges.join(rep_of.selectExpr("doc AS a", "rep AS ra"), "a").join(rep_of.selectExpr("doc AS b", "rep AS rb"), "b").selectExpr("ra AS a", "rb AS b")
@@ -378,7 +383,10 @@ def join(docs: DataFrame) -> DataFrame:
     if loads.where("tiles > 1").limit(1).count():
         across = connected(met.selectExpr("rep AS a", "root AS b")).selectExpr("node AS rep", "component")
         linked = linked.join(across, "rep", "left").selectExpr("rep", "coalesce(component, root) AS root", "links")
-    return known.join(linked, "rep", "left").selectExpr("doc AS doc_id", "size AS n_shingles", "coalesce(root, rep, doc) AS component_id", "coalesce(links, 0) + coalesce(copies, 1) - 1 AS n_links")
+    crowded = known.where(F.col("copies") >= often)  # again, no large class meets in one task
+    few = F.broadcast(linked.join(F.broadcast(crowded.select("rep").distinct()), "rep", "left_semi"))
+    rest = known.where(F.coalesce(F.col("copies") < often, F.lit(True)))
+    return crowded.join(few, "rep", "left").unionByName(rest.join(linked, "rep", "left")).selectExpr("doc AS doc_id", "size AS n_shingles", "coalesce(root, rep, doc) AS component_id", "coalesce(links, 0) + coalesce(copies, 1) - 1 AS n_links")
 
 
 def representatives(docs: DataFrame) -> DataFrame:
