@@ -398,6 +398,7 @@ def shingle_set(text):
 def test_jaccard_join(spark, monkeypatch, texts, tile):
     monkeypatch.setattr(jaccard_join, "TILE", tile)
     monkeypatch.setattr(jaccard_join, "HELD", 500)
+    monkeypatch.setattr(jaccard_join, "OFTEN", 3)  # so that some classes are broadcast
     sets = [shingle_set(t) for t in texts]
     n = len(texts)
     linked = lambda i, j: i != j and sets[i] and sets[j] and 100 * len(sets[i] & sets[j]) >= 85 * len(sets[i] | sets[j])
@@ -640,6 +641,35 @@ def test_acceptance_needs_no_ids(spark, tmp_path):
     assert len(kept) == 100 + 3 and sum(t == good for _, t in kept) == 3 and not any(t.startswith(bad) for _, t in kept)
 
 
+def test_scores_are_those_of_two_gaussians(spark):
+    """The discriminant by plain loops: moments, shrinkage, and log-densities from determinants and inverses."""
+    r = random.Random(21)
+    prose = lambda: " ".join(r.choices("the of and some words that are in a plain text with more of them here".split(), k=r.randint(5, 200)))
+    junk = lambda: "".join(r.choices("$#@!0123456789ABC \n", k=r.randint(5, 400)))
+    texts = [prose() if i % 2 else junk() + (prose() if i % 5 == 0 else "") for i in range(160)] + [None, ""]
+    labels = [(i, (i % 2) if i % 9 else 1 - i % 2, 0) for i in range(140)]
+    x = quality.statistics(pa.array([t or "" for t in texts])).astype(np.float32).astype(float)
+    train = [(i, y) for i, y, _ in labels if zlib.crc32(str(i).encode()) % 5]
+    rows = x[[i for i, _ in train]]
+    y = np.array([k for _, k in train])
+    center, scale = rows.mean(axis=0), np.sqrt(np.maximum(rows.var(axis=0), 1e-6))
+    z, own = (rows - center) / scale, {}
+    for k in (0, 1):
+        d = z[y == k] - z[y == k].mean(axis=0)
+        own[k] = sum(np.outer(v, v) for v in d) / len(d)
+    pooled = sum((y == k).sum() * own[k] for k in (0, 1)) / len(y)
+
+    def log_density(v, k):
+        s = (1 - quality.POOLED - quality.DIAGONAL) * own[k] + quality.POOLED * pooled + quality.DIAGONAL * np.eye(len(v))
+        v = v - z[y == k].mean(axis=0)
+        return math.log((y == k).mean()) - 0.5 * np.linalg.slogdet(s)[1] - 0.5 * v @ np.linalg.inv(s) @ v
+
+    got = {r["doc_id"]: r for r in quality.score(docs_of(spark, texts), spark.createDataFrame(labels, "doc_id long, quality int, toxic int")).collect()}
+    for i, v in enumerate((x - center) / scale):
+        want = 1 / (1 + math.exp(min(700, quality.SHARPNESS * (log_density(v, 0) - log_density(v, 1)))))
+        assert got[i]["score"] == pytest.approx(want, rel=1e-5, abs=1e-9) and got[i]["predicted"] == (want >= 0.3)
+
+
 # 8
 
 def test_differencing():
@@ -718,6 +748,50 @@ def test_resampling_keeps_a_tone():
     assert media.segments(np.array([0, 0, 5, 9, 5, 0, 0, 5, 0.0])).tolist()[0][0] <= 2
 
 
+def test_features_are_those_of_plain_sums():
+    """Resampling as a direct filter sum, the spectrum as a direct Fourier sum, filters as triangles, segments by a walk."""
+    r = random.Random(17)
+    for n in (64, 640, 2304):
+        samples = bytes(r.choices(range(256), k=n))
+        x = [(b - 128) / 128 for b in samples]
+        taps, up, down = media.TAPS * media.UP, media.UP, media.DOWN
+        at = [t - (taps - 1) / 2 for t in range(taps)]
+        cut = 1 / max(up, down)
+        low = [up * cut * (math.sin(math.pi * cut * t) / (math.pi * cut * t) if t else 1) * (0.54 - 0.46 * math.cos(2 * math.pi * i / (taps - 1))) for i, t in enumerate(at)]
+        # output m is at m * down of a signal with up - 1 zeros after each sample
+        y = [sum(low[k] * x[(m * down - k) // up] for k in range(taps) if (m * down - k) % up == 0 and 0 <= (m * down - k) // up < n) for m in range(-(-n * up // down))]
+        assert np.allclose(media.resample(np.array(x, np.float32)), y, atol=1e-4)
+        frames = max(1, -(-(len(y) - media.FRAME) // media.HOP) + 1)
+        y += [0.0] * ((frames - 1) * media.HOP + media.FRAME - len(y))
+        rate, half = media.RATE * up / down, media.FRAME // 2
+        mel = lambda f: 2595 * math.log10(1 + f / 700)
+        edges = [700 * (10 ** (mel(rate / 2) * i / (media.BANDS + 1) / 2595) - 1) for i in range(media.BANDS + 2)]
+        triangle = lambda f, a, b, c: max(0.0, min((f - a) / (b - a), (c - f) / (c - b)))
+        mels = np.empty((frames, media.BANDS))
+        window = [0.5 - 0.5 * math.cos(2 * math.pi * i / (media.FRAME - 1)) for i in range(media.FRAME)]
+        turn = np.exp(-2j * np.pi * np.outer(np.arange(half + 1), np.arange(media.FRAME)) / media.FRAME)
+        for k in range(frames):
+            power = np.abs(turn @ (np.array(y[k * media.HOP : k * media.HOP + media.FRAME]) * window)) ** 2
+            mels[k] = [math.log(sum(p * triangle(rate / 2 * j / half, *edges[b : b + 3]) for j, p in enumerate(power)) + 1e-6) for b in range(media.BANDS)]
+        tensor, spans, parts, count = media.features(samples)
+        assert count == frames and spans.shape == (media.SLICES + 1,) and np.isclose(spans[-1], frames * media.HOP / rate)
+        for s in range(media.SLICES):
+            a = min(int(frames * s / media.SLICES), frames - 1)
+            z = max(math.ceil(frames * (s + 1) / media.SLICES), a + 1)
+            assert np.allclose(tensor[s], mels[a:z].mean(axis=0), atol=2e-2)
+        energy = media.log_mel(media.resample(np.array(x, np.float32))).mean(axis=1)
+        low_level, high_level = np.quantile(energy, (media.CLOSE, media.OPEN))
+        want, start, reached = [], None, False
+        for i, e in enumerate([*energy, -math.inf]):
+            if e >= low_level:
+                start, reached = (i if start is None else start), reached or e >= high_level
+            else:
+                if reached:
+                    want.append((start, i))
+                start, reached = None, False
+        assert np.allclose(parts, np.array(want).reshape(-1, 2) * media.HOP / rate)
+
+
 # 10
 
 def test_blocks_and_references():
