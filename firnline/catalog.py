@@ -21,6 +21,8 @@ from .model import Options, TierError
 from .sources.storage import Store
 
 
+#: Change-index pieces whose entries may supersede older pieces; all others hold keys that no other piece has.
+DELTA = "index/delta-"
 #: How often a change is tried again after another writer was first.
 ATTEMPTS = 20
 
@@ -91,6 +93,10 @@ class Snapshot:
     def active(self) -> list[Segment]:
         return [s for s in self.segments if s.status == "active"]
 
+    @property
+    def deltas(self) -> list[str]:
+        return [p for p in self.index if p.startswith(DELTA)]
+
     def columns(self, version: int | None = None) -> list[tuple[int, str, T.DataType]]:
         """(id, name, type) of the columns of a schema version."""
         rows = self.held["schemas"][str(version or self.schema_version)]

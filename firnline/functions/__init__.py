@@ -36,3 +36,8 @@ def since(t: dt.datetime) -> int:
 def key_digest(*key: str) -> Column:
     """SHA-256 of a key's JSON: the identity of a row across stores."""
     return F.sha2(F.to_json(F.struct(*key)), 256)
+
+
+def user_id(table) -> str | None:
+    """The scope that a handle is in; None without one."""
+    return table.scope.strip() if table.scope and table.scope.strip() else None

@@ -15,7 +15,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ..catalog import ATTEMPTS, Catalog, Conflict, Segment, Snapshot, freeze
+from ..catalog import ATTEMPTS, DELTA, Catalog, Conflict, Segment, Snapshot, freeze
 from ..model import DELETE, DELETED, FORCE_TOMBSTONES_ONLY, OP, ORDERABLE, SEQ, VERSION, RowLimit
 from ..plans.merge import Reader
 
@@ -25,6 +25,9 @@ LEASE = dt.timedelta(minutes=30)
 #: Ranges that a search for a rank counts at once, and values of one range that are looked at themselves.
 RANGES, FEW = 1024, 10_000
 
+#: Delta pieces, and hot pieces, beyond which a change writes the hot side anew as one piece.
+MOST_DELTAS, MOST_PIECES = 16, 64
+
 #: Test hook: functions to call at named points of a flush.
 FAILPOINTS: dict[str, object] = {}
 
@@ -166,6 +169,24 @@ def keep(catalog: Catalog, draft: dict, hot: DataFrame | None, index: DataFrame
         draft["index"] = [f"index/{mark}"]
 
 
+def add(catalog: Catalog, draft: dict, hot: DataFrame | None, index: DataFrame, schema_version: int, delta: bool) -> None:
+    """Add a hot and a change-index piece to those in ``draft``; ``delta`` if their keys may be in older ones.
+
+    What a change writes grows with the change, not with what is hot. Only when very many pieces have gathered are they written as one.
+    """
+    mark = uuid.uuid4().hex[:12]
+    if hot is not None:
+        hot.write.parquet(catalog.store.full(f"hot/{mark}"))
+        draft["hot"].append({"path": f"hot/{mark}", "schema_version": schema_version})
+    piece = f"{DELTA}{mark}" if delta else f"index/{mark}"
+    index.write.parquet(catalog.store.full(piece))
+    draft["index"].append(piece)
+    now = Snapshot(draft)
+    if len(now.deltas) > MOST_DELTAS or len(now.hot) > MOST_PIECES:
+        reader = Reader(catalog, now)
+        keep(catalog, draft, reader.hot(), reader.index(), schema_version)
+
+
 def busy(job: dict, now: dt.datetime | None = None) -> bool:
     """Whether a job is running under a lease that holds; one whose lease has ended may be taken over."""
     return job["status"] == "running" and dt.datetime.fromisoformat(job["lease_until"]) > (now or dt.datetime.now(dt.UTC))

@@ -45,8 +45,8 @@ def validate(schema: T.StructType, pk: list[str], kind: str, options: Options) -
 class TieredTable:
     """A handle on the newest snapshot; each call resolves one version."""
 
-    def __init__(self, spark: SparkSession, root: str, scope: str | None = None):
-        self.spark, self.catalog, self.scope = spark, Catalog(spark, root), scope
+    def __init__(self, spark: SparkSession, root: str, scope: str | None = None, rule: str | None = None):
+        self.spark, self.catalog, self.scope, self.rule = spark, Catalog(spark, root), scope, rule
         self.report: merge.Report | None = None
 
     # registration
@@ -69,7 +69,17 @@ class TieredTable:
 
     def in_scope(self, scope: str | None) -> TieredTable:
         """The same table with an active scope."""
-        return TieredTable(self.spark, self.catalog.store.root, scope)
+        return TieredTable(self.spark, self.catalog.store.root, scope, self.rule)
+
+    def guarded(self, rule: str) -> TieredTable:
+        """The same table under a row rule, in SQL, beside those it is under already.
+
+        Rows that don't pass, hot or cold, are neither read nor changed, and none is written. A rule is parsed as an expression of its
+        own and tested after the merge, ahead of any filter. The change feed, which keeps images of older versions, is refused.
+        """
+        both = rule if self.rule is None else f"({self.rule}) AND ({rule})"
+        F.expr(rule)  # must be a whole expression by itself
+        return TieredTable(self.spark, self.catalog.store.root, self.scope, both)
 
     def alter(self, **changes) -> None:
         """Change options: policy, compression, bloom_columns, auto_flush."""
@@ -105,6 +115,20 @@ class TieredTable:
             self.catalog.store.delete("cold")
         return n
 
+    def drop(self) -> None:
+        """Delete the table with all its files: jobs are cancelled and readers turned away first, the catalog goes last."""
+
+        def change(held: Snapshot, draft: dict) -> bool:
+            draft["active"] = False
+            for j in draft["jobs"]:
+                if j["status"] in ("pending", "running"):
+                    j["status"] = "cancelled"
+            return True
+
+        self.catalog.update(change)
+        for folder in ("hot", "index", "_changes", "cold", "quarantine", "manifest", "catalog"):
+            self.catalog.store.delete(folder)
+
     # reads
 
     @property
@@ -118,8 +142,14 @@ class TieredTable:
         """Whether a row is of the active scope."""
         return F.col(held.options.scope_column).cast("string").eqNullSafe(F.lit(self.scope.strip()))
 
+    def _allowed(self) -> Column | None:
+        """Whether a row passes the row rule; an unknown answer is no."""
+        return None if self.rule is None else F.coalesce(F.expr(self.rule), F.lit(False))
+
     def _scoped(self, held: Snapshot, df: DataFrame) -> DataFrame:
-        """Rows of the active scope; without one, a user table reads as empty."""
+        """Rows of the active scope that pass the row rule; without a scope, a user table reads as empty."""
+        if self.rule is not None:
+            df = df.where(self._allowed())
         if held.kind == "shared":
             return df
         if self.scope is None or not self.scope.strip():
@@ -128,13 +158,13 @@ class TieredTable:
 
     def scan(self, filters=None, where: str | None = None, columns: list[str] | None = None, order_by=None, limit: int | None = None, late: bool = False) -> DataFrame:
         """Latest rows; how they were found is in ``report``."""
-        held, rule = self.snapshot, None
+        held, rule = self.snapshot, self._allowed()
         if held.kind == "user":
             filters = filters_of(filters)
             if self.scope is None or not self.scope.strip():
                 df, self.report = merge.scan(self.catalog, held, filters, where, columns, rule=F.lit(False))
                 return df.limit(0)
-            rule = self._mine(held)
+            rule = self._mine(held) if rule is None else self._mine(held) & rule
             column = held.options.scope_column
             if column in held.pk and isinstance(held.schema()[column].dataType, T.StringType):
                 filters = [Filter(column, "=", self.scope.strip()), *filters]
@@ -158,6 +188,8 @@ class TieredTable:
         return df.orderBy(*held.pk).limit(rows)
 
     def changes_since(self, since_seq: int = 0, limit_rows: int = 1000, last_rows: int | None = None) -> DataFrame:
+        if self.rule is not None:
+            raise TierError("the change feed is refused under a row rule")
         return feed.changes_since(self.catalog, self.snapshot, since_seq, limit_rows, last_rows, self.scope)
 
     # changes
@@ -174,6 +206,28 @@ class TieredTable:
         """Delete hot rows by key; each leaves a tombstone until it is flushed. Keys that aren't hot are not touched."""
         return self._apply(keys, DELETE, seq)
 
+    def update_where(self, where: str, values: dict[str, str]) -> int:
+        """Set columns of hot rows that pass ``where`` to SQL expressions over the row's old values.
+
+        Key, scope and order columns are refused: segments and the change index find rows by them.
+        """
+        held = self.snapshot
+        kept = {*held.pk, held.options.order_column, held.options.scope_column}
+        if fixed := sorted(kept & set(values)):
+            raise TierError(f"columns {fixed} can't be changed")
+        for c in values:
+            held.id_of(c)
+        return self._again(lambda: self._where(where, UPDATE, values))
+
+    def delete_where(self, where: str) -> int:
+        """Delete hot rows that pass ``where``."""
+        return self._again(lambda: self._where(where, DELETE, {}))
+
+    def _where(self, where: str, op: int, values: dict[str, str]) -> int:
+        held = self.snapshot  # what is read and what is changed are of one version
+        hot = self._scoped(held, merge.Reader(self.catalog, held).hot()).where(where)
+        return self._apply_once(hot.select(*held.pk, *[F.expr(e).alias(c) for c, e in values.items()]), op, None, True, held)
+
     def _numbered(self, rows: DataFrame, held: Snapshot, seq: str | None) -> tuple[DataFrame, int]:
         """Rows with their seq, written down first so that numbers stay what they are."""
         floor = held.held["max_seq"]
@@ -214,12 +268,14 @@ class TieredTable:
                 continue
         raise Conflict(f"{ATTEMPTS} attempts were overtaken")
 
-    def _apply_once(self, rows: DataFrame, op: int, seq: str | None, check: bool) -> int:
-        held = self.snapshot
+    def _apply_once(self, rows: DataFrame, op: int, seq: str | None, check: bool, held: Snapshot | None = None) -> int:
+        held = held or self.snapshot
         if held.kind == "user" and check:
             scope = need_scope(self.scope)
-            other = rows.where(~F.col(held.options.scope_column).cast("string").eqNullSafe(F.lit(scope)))
-            if other.limit(1).count():
+            scoped = held.options.scope_column
+            if op == INSERT and scoped not in rows.columns:
+                raise TierError(f"rows lack the scope column {scoped!r}")
+            if scoped in rows.columns and rows.where(~F.col(scoped).cast("string").eqNullSafe(F.lit(scope))).limit(1).count():
                 raise TierError("rows of another scope")
         names, pk = held.schema().names, held.pk
         if missing := [c for c in pk if c not in rows.columns]:
@@ -238,7 +294,13 @@ class TieredTable:
                     raise TierError("duplicate key: already hot")
         else:
             mine = hot.where(self._mine(held)) if held.kind == "user" and check else hot  # another scope's row of that key stays
+            mine = mine if self.rule is None else mine.where(self._allowed())
             rows = rows.dropDuplicates(pk).join(mine.select(*pk), pk, "left_semi")
+        if self.rule is not None and op != DELETE:
+            images = rows if op == INSERT else rows.join(hot.select(*pk, *[c for c in names if c not in given]), pk)
+            images = images.select(*[F.col(c) if c in images.columns else F.lit(None).cast(kinds[c]).alias(c) for c in names])
+            if images.where(~self._allowed()).limit(1).count():
+                raise TierError("rows that the row rule does not allow")
         numbered, top = self._numbered(rows, held, seq)
         n = numbered.count()
         if not n:
@@ -246,21 +308,13 @@ class TieredTable:
         draft = held.draft()
         changed = numbered.select(*pk, SEQ, F.lit(op).cast("short").alias(OP))
         fresh = op == INSERT and not (held.index and reader.index().join(numbered.select(*pk), pk, "left_semi").limit(1).count())
-        if op == DELETE:
-            new_hot = hot.join(numbered.select(*pk), pk, "left_anti")
-        else:
+        new = None
+        if op == UPDATE:
+            old = hot.drop(SEQ).select(*pk, *[c for c in names if c not in given])
+            new = numbered.join(old, pk).select(*names, SEQ)
+        elif op == INSERT:
             new = numbered.select(*[F.col(c) if c in given else F.lit(None).cast(kinds[c]).alias(c) for c in names], SEQ)
-            if op == UPDATE:
-                old = hot.drop(SEQ).select(*pk, *[c for c in names if c not in given])
-                new = numbered.join(old, pk).select(*names, SEQ)
-            new_hot = new if op == INSERT else hot.join(numbered.select(*pk), pk, "left_anti").unionByName(new)
-        if op == INSERT and fresh:  # append: nothing that is there changes
-            before = draft["hot"], draft["index"]
-            flushing.keep(self.catalog, draft, new_hot, changed, held.schema_version)
-            draft["hot"], draft["index"] = before[0] + draft["hot"], before[1] + draft["index"]
-        else:
-            index = reader.index().join(changed.select(*pk), pk, "left_anti").unionByName(changed)
-            flushing.keep(self.catalog, draft, hot.unionByName(new_hot) if op == INSERT else new_hot, index, held.schema_version)
+        flushing.add(self.catalog, draft, new, changed, held.schema_version, delta=not fresh)
         draft["max_seq"] = max(top, held.held["max_seq"])
         self.catalog.publish(draft, held.version)
         return n
@@ -289,8 +343,9 @@ class TieredTable:
         if n:
             changed = last.select(*pk, F.col("seq").cast("long").alias(SEQ), F.col("op").cast("short").alias(OP))
             live = last.where(F.col("op") != DELETE).select(*names, F.col("seq").cast("long").alias(SEQ))
-            hot = reader.hot().join(last.select(*pk), pk, "left_anti").unionByName(live)
-            flushing.keep(self.catalog, draft, hot, reader.index().join(last.select(*pk), pk, "left_anti").unionByName(changed), held.schema_version)
+            there = reader.index().select(*pk).unionByName(reader.hot().select(*pk))
+            known = bool(held.index or held.hot) and there.join(last.select(*pk), pk, "left_semi").limit(1).count() > 0
+            flushing.add(self.catalog, draft, live, changed, held.schema_version, delta=known)
             draft["max_seq"] = max(top, floor)
         if batch_id is not None:
             draft["applied_batch"] = batch_id
@@ -308,7 +363,7 @@ class TieredTable:
         n = missing.count()
         if n:
             draft = held.draft()
-            flushing.keep(self.catalog, draft, None, reader.index().unionByName(missing), held.schema_version)
+            flushing.add(self.catalog, draft, None, missing, held.schema_version, delta=False)  # keys that no piece has
             self.catalog.publish(draft, held.version)
         return n
 

@@ -5,6 +5,9 @@
     masked   = newest without deletes, anti-joined with hot keys and tombstones of the change index
     result   = hot rows + masked, then every predicate
 
+Updates, deletes and captured batches add small pieces instead of rewriting what is hot: a hot row or an entry of the change index
+counts unless a delta piece holds a later change of its key.
+
 The deduplication precedes the drop of deletes: a cold tombstone must beat older cold versions.
 Join strategies are left to the optimizer, as hot keys may be few or many.
 """
@@ -70,11 +73,21 @@ class Reader:
             return self.spark.createDataFrame([], T.StructType([*self.snapshot.schema(), *meta]))
         return reduce(DataFrame.unionByName, parts)
 
+    def _superseded(self, rows: DataFrame) -> DataFrame:
+        """Rows without those that a later change of their key, in a delta piece, has replaced or deleted."""
+        if not self.snapshot.deltas:
+            return rows
+        pk = self.snapshot.pk
+        later = self._index(self.snapshot.deltas).select(*[F.col(k).alias(f"_d_{k}") for k in pk], F.col(SEQ).alias("_d_seq"))
+        same = reduce(lambda a, b: a & b, [F.col(k) == F.col(f"_d_{k}") for k in pk])
+        return rows.join(later, same & (F.col(SEQ) < F.col("_d_seq")), "left_anti")
+
     def hot(self) -> DataFrame:
+        """The latest row of each hot key."""
         groups = defaultdict(list)
         for piece in self.snapshot.hot:
             groups[piece["schema_version"]].append(piece["path"])
-        return self._files(groups, T.StructType([T.StructField(SEQ, T.LongType())]))
+        return self._superseded(self._files(groups, T.StructType([T.StructField(SEQ, T.LongType())])))
 
     def cold(self, segments: list[Segment]) -> DataFrame:
         """Every stored version in these segments."""
@@ -85,11 +98,14 @@ class Reader:
 
     def index(self) -> DataFrame:
         """The change index: key, seq, op of the latest change of each key that is not flushed."""
+        return self._superseded(self._index(self.snapshot.index))
+
+    def _index(self, pieces: list[str]) -> DataFrame:
         kinds = {n: t for _, n, t in self.snapshot.columns()}
         schema = T.StructType([*(T.StructField(k, kinds[k]) for k in self.snapshot.pk), T.StructField(SEQ, T.LongType()), T.StructField(OP, T.ShortType())])
-        if not self.snapshot.index:
+        if not pieces:
             return self.spark.createDataFrame([], schema)
-        return self.spark.read.schema(schema).parquet(*[self.catalog.store.full(p) for p in self.snapshot.index])
+        return self.spark.read.schema(schema).parquet(*[self.catalog.store.full(p) for p in pieces])
 
     def merged(self, segments: list[Segment], filters: list[Filter], report: Report | None = None, keep_seq: bool = False) -> DataFrame:
         """Hot rows and the cold winners of ``segments``; filters on key columns are applied to both sides first."""

@@ -14,7 +14,7 @@ from .operators.table import TieredTable
 from .plans.merge import Reader
 from .sources.storage import shared_dir
 from .streaming import capture
-from .surface import CH, SURFACE, tiered_sql
+from .surface import CH, PARAMETERS, SURFACE, tiered_sql
 
 _built: dict[tuple, str] = {}
 
@@ -376,6 +376,19 @@ def flush_concurrent(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _fixture(spark, sf_dir, "concurrent", build).scan()
 
 
+def tier_update_where(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Hot rows changed and deleted by condition, in several small changes on top of each other."""
+
+    def build(root: str) -> None:
+        orders = read(spark, sf_dir, "orders")
+        t = TieredTable.manage(spark, root, "conditions", orders.schema, ["o_orderkey"], Options(RowLimit(0, 1, _file_rows(orders.count()), 1 << 40)), rows=orders)
+        t.update_where("o_orderkey % 7 = 0", {"o_orderstatus": "'V'"})
+        t.update_where("o_orderstatus = 'V' AND o_orderpriority = '1-URGENT'", {"o_totalprice": "o_totalprice * 2"})
+        t.delete_where("o_orderkey % 5 = 0 AND o_orderpriority = '5-LOW'")
+
+    return _fixture(spark, sf_dir, "conditions", build).scan()
+
+
 def tier_rehydrate(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The latest rows written back to a plain table on detaching."""
     key = (spark.sparkContext.applicationId, sf_dir, "rehydrated")
@@ -417,6 +430,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "tier_composite_pk": lambda s, d: conversations_table(s, d).scan(),
     "tier_scope": lambda s, d: documents_table(s, d).in_scope("src3").scan(),
     "tier_scope_where": lambda s, d: documents_table(s, d).in_scope("src3").scan(where="lang = 'en' OR source <> 'src3' OR true"),
+    "tier_row_rule": _orders(lambda t, n: t.guarded("o_orderpriority <> '5-LOW'").scan(where="o_orderstatus = 'U' OR true")),
+    "tier_update_where": tier_update_where,
     "tier_scope_unset": lambda s, d: documents_table(s, d).scan().agg(F.count("*").alias("n")),
     "tier_scope_feed": lambda s, d: documents_table(s, d).in_scope("src3").changes_since(limit_rows=1 << 30).select(F.get_json_object("pk", "$.doc_id").cast("long").alias("doc_id"), F.col("op").cast("int").alias("op"), "source"),
     "tier_rename_col": lambda s, d: evolved_table(s, d).scan(columns=["c_custkey", "full_name"]),
@@ -475,6 +490,10 @@ ORACLE_SQL: dict[str, str] = {
     "tier_scope_where": "SELECT doc_id, text, lang, source, n_chars FROM documents WHERE source = 'src3'",
     "tier_limit_hot_first": "SELECT CAST(100 AS BIGINT) AS n, CAST(0 AS BIGINT) AS wrong",
     "flush_concurrent": LOGICAL,
+    "tier_row_rule": f"SELECT * FROM ({LOGICAL}) WHERE o_orderpriority <> '5-LOW'",
+    "tier_update_where": f"""SELECT o_orderkey, o_custkey, CASE WHEN o_orderkey % 7 = 0 THEN 'V' ELSE o_orderstatus END AS o_orderstatus,
+ CASE WHEN o_orderkey % 7 = 0 AND o_orderpriority = '1-URGENT' THEN o_totalprice * 2 ELSE o_totalprice END AS o_totalprice, o_orderdate, o_orderpriority
+ FROM orders WHERE NOT (o_orderkey % 5 = 0 AND o_orderpriority = '5-LOW')""",
     "tier_scope_unset": "SELECT CAST(0 AS BIGINT) AS n",
     "tier_scope_feed": "SELECT doc_id, 1 AS op, 'cold' AS source FROM documents WHERE source = 'src3'",
     "tier_rename_col": "SELECT c_custkey, c_name AS full_name FROM customer",
@@ -503,7 +522,7 @@ ORACLE_SQL: dict[str, str] = {
 }
 
 
-def _surface(body: str) -> Callable[[SparkSession, str], DataFrame]:
+def _surface(body: str, args: dict | None = None) -> Callable[[SparkSession, str], DataFrame]:
     def query(spark: SparkSession, sf_dir: str) -> DataFrame:
         for name in ("region", "nation", "customer", "supplier", "part", "lineitem", "events", "conversations"):
             read(spark, sf_dir, name).createOrReplaceTempView(name)
@@ -511,7 +530,7 @@ def _surface(body: str) -> Callable[[SparkSession, str], DataFrame]:
         events_table(spark, sf_dir).scan().createOrReplaceTempView("events_t")
         if "lineitem_t" in body:
             lineitem_table(spark, sf_dir).scan().createOrReplaceTempView("lineitem_t")
-        return spark.sql(body)
+        return spark.sql(body, args)
 
     return query
 
@@ -519,3 +538,7 @@ def _surface(body: str) -> Callable[[SparkSession, str], DataFrame]:
 for _name, (_spark, _duck) in {**SURFACE, **CH}.items():
     QUERIES[_name] = _surface(_spark)
     ORACLE_SQL[_name] = tiered_sql(_duck, orders_t=LOGICAL, events_t=EVENTS, lineitem_t="SELECT * FROM lineitem")
+
+for _name, (_spark, _args, _duck) in PARAMETERS.items():
+    QUERIES[_name] = _surface(_spark, _args)
+    ORACLE_SQL[_name] = tiered_sql(_duck, orders_t=LOGICAL, events_t=EVENTS)

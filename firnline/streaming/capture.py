@@ -8,7 +8,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import types as T
 from pyspark.sql.streaming import StreamingQuery
 
+from ..model import TierError
 from ..operators.table import TieredTable
+from ..sources.storage import Store
 
 
 def change_schema(table: TieredTable) -> T.StructType:
@@ -36,6 +38,16 @@ def drain(changes: DataFrame, table: TieredTable, checkpoint: str) -> None:
     capture(changes, table, checkpoint).awaitTermination()
 
 
+def teardown(query: StreamingQuery | None, table: TieredTable, checkpoint: str) -> None:
+    """Stop a capture and forget how far it came; refused while the table is managed, as its next capture would start over."""
+    if table.catalog.versions() and table.catalog.load().held["active"]:
+        raise TierError("the table is still managed")
+    if query is not None:
+        query.stop()
+    folder, _, name = checkpoint.rstrip("/").rpartition("/")
+    Store(table.spark, folder).delete(name)
+
+
 def progress(query: StreamingQuery) -> dict:
     """State and lag of a capture."""
     last = query.lastProgress

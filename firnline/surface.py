@@ -124,6 +124,10 @@ SURFACE: dict[str, tuple[str, str]] = {
         "SELECT o_orderkey, CAST(year(o_orderdate) AS BIGINT) AS y, CAST(month(o_orderdate) AS BIGINT) AS m, unix_seconds(CAST(o_orderdate AS TIMESTAMP)) AS s, o_orderdate + INTERVAL 7 DAYS AS later FROM orders_t WHERE o_orderdate >= TIMESTAMP_NTZ '1996-01-01 00:00:00' AND o_orderdate < TIMESTAMP_NTZ '1997-01-01 00:00:00'",
         "SELECT o_orderkey, year(o_orderdate) AS y, month(o_orderdate) AS m, CAST(epoch(o_orderdate) AS BIGINT) AS s, o_orderdate + INTERVAL 7 DAY AS later FROM orders_t WHERE o_orderdate >= TIMESTAMP '1996-01-01 00:00:00' AND o_orderdate < TIMESTAMP '1997-01-01 00:00:00'",
     ),
+    "fn_now": (
+        "SELECT o_orderkey, o_orderdate < now() AS past, o_orderdate + INTERVAL 1 MONTH < now() AS month_past FROM orders_t",
+        "SELECT o_orderkey, o_orderdate < CAST(now() AS TIMESTAMP) AS past, o_orderdate + INTERVAL 1 MONTH < CAST(now() AS TIMESTAMP) AS month_past FROM orders_t",
+    ),
     "fn_cast": (
         "SELECT o_orderkey, CAST(o_orderkey AS STRING) AS s, CAST(CAST(o_orderkey AS STRING) AS BIGINT) AS b, CAST(o_orderdate AS DATE) AS d FROM orders_t",
         "SELECT o_orderkey, CAST(o_orderkey AS VARCHAR) AS s, CAST(CAST(o_orderkey AS VARCHAR) AS BIGINT) AS b, CAST(o_orderdate AS DATE) AS d FROM orders_t",
@@ -167,3 +171,17 @@ CH: dict[str, tuple[str, str]] = {
     "ch_q21": same("SELECT s_suppkey, count(*) AS waiting FROM supplier, lineitem l1, orders_t WHERE s_suppkey = l1.l_suppkey AND o_orderkey = l1.l_orderkey AND l1.l_shipdate > o_orderdate AND NOT EXISTS (SELECT 1 FROM lineitem l2 WHERE l2.l_orderkey = l1.l_orderkey AND l2.l_shipdate > l1.l_shipdate) GROUP BY s_suppkey ORDER BY waiting DESC, s_suppkey LIMIT 100"),
     "ch_q22": same(f"SELECT c_nationkey, count(*) AS n, {money('c_acctbal')} AS balance FROM customer WHERE c_nationkey IN (1, 2, 3, 4, 5, 6, 7) AND c_acctbal > (SELECT CAST(sum({M.format('c_acctbal')}) AS DOUBLE) / count(*) FROM customer WHERE c_acctbal > 0) AND NOT EXISTS (SELECT 1 FROM orders_t WHERE o_custkey = c_custkey AND o_totalprice > 350000) GROUP BY c_nationkey"),
 }
+
+#: Statements with named parameters: what Spark gets, the values, and the same with the values written out.
+PARAMETERS: dict[str, tuple[str, dict, str]] = {
+    "stmt_parameters": (
+        "SELECT o_orderkey, o_totalprice FROM orders_t WHERE o_totalprice > :least AND o_orderpriority = :priority",
+        {"least": 150000.0, "priority": "2-HIGH"},
+        "SELECT o_orderkey, o_totalprice FROM orders_t WHERE o_totalprice > 150000 AND o_orderpriority = '2-HIGH'",
+    ),
+    "stmt_parameters_hostile": (
+        "SELECT o_orderstatus, count(*) AS n FROM orders_t WHERE o_orderpriority <> :priority GROUP BY o_orderstatus",
+        {"priority": "' OR '1' = '1"},
+        "SELECT o_orderstatus, count(*) AS n FROM orders_t GROUP BY o_orderstatus",
+    ),
+}

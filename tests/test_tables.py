@@ -359,9 +359,11 @@ def test_the_nth_seq_needs_no_sort(spark):
         assert flushing.nth(df, n + 1) is None
 
 
-def test_vacuum_keeps_what_a_version_names(spark, tmp_path):
+def test_vacuum_keeps_what_a_version_names(spark, tmp_path, monkeypatch):
     import datetime as dt
 
+    monkeypatch.setattr(flushing, "MOST_DELTAS", 0)  # each change supersedes all pieces
+
     t, df = make(spark, tmp_path, ROWS)
     for i in range(3):
         t.update(df.where(f"id = {i + 1}").withColumn("body", F.lit("u")))
@@ -420,3 +422,45 @@ def test_applied_batches_are_not_applied_again(spark, tmp_path):
     assert t.apply_changes(changes, 0) == 0 and t.apply_changes(changes, 1) == 0
     assert got(t.scan()) == [(1, "b", 2)]
     assert got(Reader(t.catalog, t.snapshot).index().select("id", SEQ, OP)) == [(1, 11, 2), (2, 13, 3)]
+
+
+def test_a_change_writes_no_more_than_itself(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(flushing, "MOST_DELTAS", 3)
+    t, df = make(spark, tmp_path, ROWS)
+    base = t.snapshot.hot
+    new = lambda *rows: spark.createDataFrame(list(rows), df.schema)
+    t.update(new((3, "three", 0), (4, "four", 0)))
+    assert t.snapshot.hot[:1] == base and spark.read.parquet(t.catalog.store.full(t.snapshot.hot[1]["path"])).count() == 2
+    t.update(new((3, "three-again", 1)))
+    t.delete(new((4, "", 0), (5, "", 0)).select("id"))
+    held = t.snapshot
+    assert len(held.deltas) == 3 and held.hot[:1] == base
+    want = sorted([r for r in ROWS if r[0] not in (3, 4, 5)] + [(3, "three-again", 1)])
+    assert got(t.scan()) == want and got(t.scan([("id", "=", 4)])) == [] and got(t.scan([("id", "=", 3)])) == [(3, "three-again", 1)]
+    assert Reader(t.catalog, held).index().groupBy("id").count().where("count > 1").count() == 0
+    t.insert(new((5, "back", 5)))  # a fourth delta: everything becomes one piece
+    assert not t.snapshot.deltas and len(t.snapshot.hot) == len(t.snapshot.index) == 1
+    assert got(t.scan()) == sorted([*want, (5, "back", 5)])
+    assert t.verify()["ok"]
+
+
+def test_deltas_during_a_flush(spark, tmp_path):
+    t, df = make(spark, tmp_path, ROWS)
+    t.update(df.where("id = 1").withColumn("body", F.lit("before")))
+    other = TieredTable(spark, t.catalog.store.root)
+
+    def change():
+        other.update(df.where("id IN (1, 2)").withColumn("body", F.lit("during")))
+        other.delete(df.where("id = 3").select("id"))
+
+    flushing.FAILPOINTS["before_activate"] = change
+    try:
+        t.flush(force=True)
+    finally:
+        flushing.FAILPOINTS.clear()
+    want = sorted((i, "during" if i in (1, 2) else b, q) for i, b, q in ROWS if i != 3)
+    assert got(t.scan()) == want
+    assert sorted(r["id"] for r in Reader(t.catalog, t.snapshot).index().collect()) == [1, 2, 3]
+    t.flush(force=True)
+    t.flush(force=True)
+    assert got(t.scan()) == want and t.status()["hot_rows"] == 0
