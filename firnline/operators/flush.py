@@ -27,6 +27,8 @@ RANGES, FEW = 1024, 10_000
 
 #: Delta pieces, and hot pieces, beyond which a change writes the hot side anew as one piece.
 MOST_DELTAS, MOST_PIECES = 16, 64
+#: Bytes up to which the hot side is written anew at once, as that costs no more than a delta and reads stay plain.
+SMALL = 32 << 20
 
 #: Test hook: functions to call at named points of a flush.
 FAILPOINTS: dict[str, object] = {}
@@ -174,6 +176,12 @@ def add(catalog: Catalog, draft: dict, hot: DataFrame | None, index: DataFrame,
 
     What a change writes grows with the change, not with what is hot. Only when very many pieces have gathered are they written as one.
     """
+    held = Snapshot(draft)
+    if delta and sum(catalog.store.total(p) for p in [*(h["path"] for h in held.hot), *held.index]) <= SMALL:
+        reader, keys = Reader(catalog, held), index.select(*held.pk)
+        rest = reader.hot().join(keys, held.pk, "left_anti")
+        keep(catalog, draft, rest if hot is None else rest.unionByName(hot), reader.index().join(keys, held.pk, "left_anti").unionByName(index), schema_version)
+        return
     mark = uuid.uuid4().hex[:12]
     if hot is not None:
         hot.write.parquet(catalog.store.full(f"hot/{mark}"))

@@ -44,6 +44,10 @@ class Store:
     def size(self, name: str) -> int:
         return self._fs.getFileStatus(self._at(name)).getLen()
 
+    def total(self, name: str) -> int:
+        """Bytes of all files below a folder."""
+        return self._fs.getContentSummary(self._at(name)).getLength()
+
     def read(self, name: str) -> str:
         stream = self._fs.open(self._at(name))
         try:

@@ -359,11 +359,9 @@ def test_the_nth_seq_needs_no_sort(spark):
         assert flushing.nth(df, n + 1) is None
 
 
-def test_vacuum_keeps_what_a_version_names(spark, tmp_path, monkeypatch):
+def test_vacuum_keeps_what_a_version_names(spark, tmp_path):
     import datetime as dt
 
-    monkeypatch.setattr(flushing, "MOST_DELTAS", 0)  # each change supersedes all pieces
-
     t, df = make(spark, tmp_path, ROWS)
     for i in range(3):
         t.update(df.where(f"id = {i + 1}").withColumn("body", F.lit("u")))
@@ -426,6 +424,7 @@ def test_applied_batches_are_not_applied_again(spark, tmp_path):
 
 def test_a_change_writes_no_more_than_itself(spark, tmp_path, monkeypatch):
     monkeypatch.setattr(flushing, "MOST_DELTAS", 3)
+    monkeypatch.setattr(flushing, "SMALL", -1)
     t, df = make(spark, tmp_path, ROWS)
     base = t.snapshot.hot
     new = lambda *rows: spark.createDataFrame(list(rows), df.schema)
@@ -444,7 +443,8 @@ def test_a_change_writes_no_more_than_itself(spark, tmp_path, monkeypatch):
     assert t.verify()["ok"]
 
 
-def test_deltas_during_a_flush(spark, tmp_path):
+def test_deltas_during_a_flush(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(flushing, "SMALL", -1)
     t, df = make(spark, tmp_path, ROWS)
     t.update(df.where("id = 1").withColumn("body", F.lit("before")))
     other = TieredTable(spark, t.catalog.store.root)
