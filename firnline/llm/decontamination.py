@@ -6,8 +6,9 @@ fingerprints are joined, and each hit is extended word by word in both direction
 run of at least ``SPAN`` words (or a whole shorter item) counts. Nothing is lost and nothing
 else is found, up to collisions of 64-bit word hashes.
 
-Items are broadcast in blocks of at most ``ITEM_BYTES`` of text; a larger benchmark takes
-one pass over the documents for each block.
+Items are broadcast in blocks of at most ``ITEM_BYTES`` of text. The first block's hits are found while the documents pass by. Each
+further block reads the texts alone and writes only hits, under a digest of their text, which are joined back at the end:
+no text is written again, however many blocks there are.
 
 A null text has no words. An item without words, and an empty item table, match nothing. Repeated rows are each
 judged; repeated item ids count once, and of items with equal texts each is listed. Very long texts are taken whole. Further columns stay as they are.
@@ -17,9 +18,11 @@ from __future__ import annotations
 
 from collections import defaultdict
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, LongType, StringType, StructField, StructType
@@ -29,6 +32,10 @@ from .words import ALNUM, Words, grams, words
 
 SPAN, GRAM = 10, 5
 ITEM_BYTES = 16_000_000
+#: Pairs of equal fingerprints that are extended at a time, about.
+PAIRS = 1_000_000
+#: Bytes of hits of further blocks up to which they are broadcast, and the parts into which rows of one text are split beyond that.
+HIT_BYTES, SALTS = 64_000_000, 16
 
 FOUND = (LongType(), ArrayType(LongType()), ArrayType(StringType()))
 
@@ -51,7 +58,9 @@ class Index:
     """Fingerprints of one block of items."""
 
     def __init__(self, items: list[tuple[str, str]]):
-        self.ids, self.words, short = [], [], defaultdict(list)
+        self.ids = sorted({i for i, _ in items})
+        rank = {i: r for r, i in enumerate(self.ids)}
+        body, lows, short, at = [], [], defaultdict(list), 0
         prints, owners, places = [], [], []
         table = pa.array([t for _, t in items], pa.string())
         for w in words(table, ALNUM):
@@ -59,102 +68,167 @@ class Index:
                 h = w.of(i)
                 if not len(h):
                     continue
-                at = len(self.ids)
-                self.ids.append(items[w.first + i][0])
-                self.words.append(h.copy())
+                item = rank[items[w.first + i][0]]
                 if len(h) < SPAN:
-                    short[len(h)].append((int(grams(h, len(h))[0]), at))
+                    short[len(h)].append((int(grams(h, len(h))[0]), item))
                     continue
                 g = grams(h, GRAM)
                 keep = selected(g, np.ones(len(g), bool))
                 prints.append(g[keep])
-                owners.append(np.full(len(keep), at))
-                places.append(keep)
+                owners.append(np.full(len(keep), len(lows)))
+                places.append(keep + at)
+                lows.append((at, at + len(h), item))
+                body.append(h.copy())
+                at += len(h)
         join = lambda xs, kind: np.concatenate(xs) if xs else np.zeros(0, kind)
         prints = join(prints, np.uint64)
         order = np.argsort(prints, kind="stable")
-        self.prints, self.owners, self.places = prints[order], join(owners, np.int64)[order], join(places, np.int64)[order]
+        self.body, self.prints, self.owners, self.places = join(body, np.uint64), prints[order], join(owners, np.int64)[order], join(places, np.int64)[order]
+        self.low, self.high, self.item = np.array(lows, np.int64).reshape(-1, 3).T
         self.short = {}
         for n, rows in short.items():
             rows.sort()
             self.short[n] = np.array([r[0] for r in rows], np.uint64), np.array([r[1] for r in rows])
 
     @staticmethod
-    def _pairs(keys: np.ndarray, wanted: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """All (place in wanted, place in keys) of equal values; keys are sorted."""
+    def _pairs(keys: np.ndarray, wanted: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        """All (place in wanted, place in keys) of equal values, about PAIRS at a time; keys are sorted."""
         lo, hi = np.searchsorted(keys, wanted, "left"), np.searchsorted(keys, wanted, "right")
-        n = hi - lo
-        at = np.repeat(np.arange(len(wanted)), n)
-        return at, np.arange(len(at)) - np.repeat(np.cumsum(n) - n, n) + np.repeat(lo, n)
-
-    def runs(self, w: Words) -> dict[int, list[tuple[int, int, int]]]:
-        """For each text of ``w`` its (first word, end, item) runs, as places in ``w.hash``."""
-        out = defaultdict(list)
-        owner = np.repeat(np.arange(w.texts), np.diff(w.bounds))
-        n = len(owner)
+        some = np.flatnonzero(hi > lo)
+        for part in np.split(some, np.flatnonzero(np.diff(np.cumsum(hi[some] - lo[some]) // PAIRS)) + 1):
+            n = hi[part] - lo[part]
+            yield np.repeat(part, n), np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n) + np.repeat(lo[part], n)
+
+    def _extended(self, w: Words, text: np.ndarray, p: np.ndarray, hit: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(first word, end, item) of the shared runs around fingerprints at places ``p``.
+
+        All are extended together, word by word, up to the next fingerprint of the same item on the same diagonal. A run goes on less than
+        SPAN words without one, so that there are few rounds and each shared word is compared at most twice.
+        """
+        q, owner = self.places[hit], self.owners[hit]
+        order = np.lexsort((p, p - q, owner, text[p]))
+        p, q, owner = p[order], q[order], owner[order]
+        row = text[p]
+        beside = (row[1:] == row[:-1]) & (owner[1:] == owner[:-1]) & (p[1:] - q[1:] == p[:-1] - q[:-1])
+        gap = np.where(beside, p[1:] - p[:-1], np.iinfo(np.int64).max)
+        right = np.minimum(w.bounds[row + 1] - p, self.high[owner] - q)
+        right[:-1] = np.minimum(right[:-1], gap)
+        left = np.minimum(p - w.bounds[row], q - self.low[owner])
+        left[1:] = np.minimum(left[1:], gap)
+
+        def reach(most: np.ndarray, a: np.ndarray, b: np.ndarray, step: int) -> np.ndarray:
+            far = np.zeros(len(a), np.int64)
+            on = np.flatnonzero(most > 0)
+            while len(on):
+                on = on[w.hash[a[on] + step * far[on]] == self.body[b[on] + step * far[on]]]
+                far[on] += 1
+                on = on[far[on] < most[on]]
+            return far
+
+        ahead, back = reach(right, p, q, 1), reach(left, p - 1, q - 1, -1)
+        joined = ahead[:-1] == gap
+        starts = np.flatnonzero(np.concatenate([[True], ~joined]))
+        ends = np.append(starts[1:], len(p)) - 1
+        first, end = p[starts] - back[starts], p[ends] + ahead[ends]
+        long = end - first >= SPAN
+        return first[long], end[long], self.item[owner[starts[long]]]
+
+    def hits(self, w: Words) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Hit spans of ``w``, apart and in order, as places in ``w.hash``; and sorted text * len(ids) + item."""
+        text = np.repeat(np.arange(w.texts), np.diff(w.bounds))
+        none = np.zeros(0, np.int64)
+        first, end, pairs = none, none, none
+
+        def add(a: np.ndarray, z: np.ndarray, item: np.ndarray) -> None:
+            nonlocal first, end, pairs
+            if len(a):
+                pairs = np.unique(np.concatenate([pairs, text[a] * len(self.ids) + item]))
+                first, end = merged(np.concatenate([first, a]), np.concatenate([end, z]), w.bounds)
+
         for size, (keys, items) in self.short.items():
-            if n >= size:
-                at, hit = self._pairs(keys, grams(w.hash, size))
-                inside = owner[at] == owner[at + size - 1]
-                for p, i in zip(at[inside].tolist(), items[hit[inside]].tolist(), strict=True):
-                    out[int(owner[p])].append((p, p + size, i))
-        if n < SPAN or not len(self.prints):
-            return out
-        g = grams(w.hash, GRAM)
-        keep = selected(g, owner[: n - SPAN + 1] == owner[SPAN - 1 :])
-        at, hit = self._pairs(self.prints, g[keep])
-        reached: dict[tuple[int, int, int], int] = {}
-        for p, item, q in zip(keep[at].tolist(), self.owners[hit].tolist(), self.places[hit].tolist(), strict=True):
-            text = int(owner[p])
-            line = (text, item, p - q)
-            if reached.get(line, -1) > p:
-                continue
-            a, z, body = int(w.bounds[text]), int(w.bounds[text + 1]), self.words[item]
-            left, right = min(p - a, q), min(z - p, len(body) - q)
-            same = w.hash[p - left : p + right] == body[q - left : q + right]
-            wrong = np.flatnonzero(~same)
-            k = int(np.searchsorted(wrong, left))
-            first = int(wrong[k - 1]) + 1 if k else 0
-            end = int(wrong[k]) if k < len(wrong) else left + right
-            reached[line] = p - left + end
-            if end - first >= SPAN:
-                out[text].append((p - left + first, p - left + end, item))
-        return out
-
-
-def merged(spans: list[tuple[int, int]]) -> list[tuple[int, int]]:
-    """Overlapping and touching spans as one."""
-    out: list[tuple[int, int]] = []
-    for a, b in sorted(spans):
-        if out and a <= out[-1][1]:
-            out[-1] = (out[-1][0], max(out[-1][1], b))
-        else:
-            out.append((a, b))
-    return out
-
-
-def _scan(index: Index, later: bool, found_names: list[str], batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for at, hit in self._pairs(keys, grams(w.hash, size)):
+                inside = text[at] == text[at + size - 1]
+                add(at[inside], at[inside] + size, items[hit[inside]])
+        if len(text) >= SPAN and len(self.prints):
+            g = grams(w.hash, GRAM)
+            keep = selected(g, text[: len(text) - SPAN + 1] == text[SPAN - 1 :])
+            for at, hit in self._pairs(self.prints, g[keep]):
+                if len(at):
+                    add(*self._extended(w, text, keep[at], hit))
+        return first, end, pairs
+
+    def found(self, texts: pa.Array) -> tuple[pa.Array, pa.Array, pa.Array]:
+        """Columns of word counts, spans and item ids of a text column."""
+        bounds, parts = [np.zeros(1, np.int64)], []
+        for w in words(texts, ALNUM):
+            base = bounds[-1][-1]
+            bounds.append(base + w.bounds[1:])
+            first, end, pairs = self.hits(w)
+            parts.append((first + base, end + base, pairs + w.first * len(self.ids)))
+        bounds = np.concatenate(bounds)
+        first, end, pairs = (np.concatenate(x) for x in zip(*parts, strict=True)) if parts else [np.zeros(0, np.int64)] * 3
+        return pa.array(np.diff(bounds)), *_columns(bounds, first, end, pairs, self.ids)
+
+
+def merged(first: np.ndarray, end: np.ndarray, bounds: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Overlapping and touching spans of one text as one, in order; texts are ``bounds`` of places."""
+    order = np.argsort(first, kind="stable")
+    first, far = first[order], np.maximum.accumulate(end[order])
+    text = np.searchsorted(bounds, first, "right")
+    new = np.ones(len(first), bool)
+    new[1:] = (first[1:] > far[:-1]) | (text[1:] != text[:-1])
+    starts = np.flatnonzero(new)
+    return first[starts], far[np.append(starts[1:], len(first)) - 1] if len(first) else far
+
+
+def _lists(counts: np.ndarray, values: pa.Array) -> pa.Array:
+    return pa.ListArray.from_arrays(pa.array(np.append(0, np.cumsum(counts)), pa.int32()), values)
+
+
+def _columns(bounds: np.ndarray, first: np.ndarray, end: np.ndarray, pairs: np.ndarray, ids: list[str]) -> tuple[pa.Array, pa.Array]:
+    """Spans and item ids of each text, from spans in order and sorted text * len(ids) + item."""
+    n = len(bounds) - 1
+    text = np.searchsorted(bounds, first, "right") - 1
+    spans = np.stack([first - bounds[text], end - bounds[text]], 1).ravel()
+    owner, item = np.divmod(pairs, max(1, len(ids)))
+    return _lists(2 * np.bincount(text, minlength=n), pa.array(spans, pa.int64())), _lists(np.bincount(owner, minlength=n), pa.array(ids, pa.string()).take(pa.array(item)))
+
+
+def _scan(index: Index, found_names: list[str], batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for b in batches:
+        found = index.found(b.column(b.schema.names.index("text")))
+        yield pa.RecordBatch.from_arrays([*b.columns, *found], names=[*b.schema.names, *found_names])
+
+
+def _only_hits(index: Index, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Digest, spans and items of the texts that have any."""
+    for b in batches:
+        _, spans, items = index.found(b.column(0))
+        rows = pa.RecordBatch.from_arrays([b.column(1), spans, items], names=["digest", "spans", "items"])
+        yield rows.filter(pc.greater(pc.list_value_length(items), 0))
+
+
+def _united(found_names: list[str], batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows whose last two columns, spans and items of further blocks, are taken into the three before."""
     for b in batches:
-        n_words, spans, items = np.zeros(b.num_rows, np.int64), [[] for _ in range(b.num_rows)], [set() for _ in range(b.num_rows)]
-        columns, names = b.columns, b.schema.names
-        if later:
-            spans = [list(zip(s[::2], s[1::2], strict=True)) for s in b.column(len(names) - 2).to_pylist()]
-            items = [set(s) for s in b.column(len(names) - 1).to_pylist()]
-            columns, names = columns[:-3], names[:-3]
-        for w in words(b.column(names.index("text")), ALNUM):
-            n_words[w.first : w.first + w.texts] = np.diff(w.bounds)
-            for text, runs in index.runs(w).items():
-                base = int(w.bounds[text])
-                spans[w.first + text] = merged(spans[w.first + text] + [(a - base, z - base) for a, z, _ in runs])
-                items[w.first + text] |= {index.ids[i] for _, _, i in runs}
-        found = [pa.array(n_words), pa.array([[x for s in row for x in s] for row in spans], pa.list_(pa.int64())), pa.array([sorted(s) for s in items], pa.list_(pa.string()))]
-        yield pa.RecordBatch.from_arrays([*columns, *found], names=[*names, *found_names])
+        *columns, n_words, spans, items, more_spans, more_items = b.columns
+        bounds = np.append(0, np.cumsum(n_words.to_numpy(zero_copy_only=False)))
+        row = lambda c: np.repeat(np.arange(len(c)), pc.list_value_length(c).fill_null(0).to_numpy(zero_copy_only=False))
+        place = [c.flatten().to_numpy(zero_copy_only=False) + bounds[row(c)] for c in (spans, more_spans)]
+        first, end = merged(*(np.concatenate([x[i::2] for x in place]) for i in (0, 1)), bounds)
+        held = pa.concat_arrays([items.flatten(), more_items.flatten()]).dictionary_encode()
+        ids = held.dictionary.to_pylist()
+        rank = np.empty(len(ids), np.int64)
+        rank[sorted(range(len(ids)), key=ids.__getitem__)] = np.arange(len(ids))
+        pairs = np.unique(np.concatenate([row(items), row(more_items)]) * len(ids) + rank[held.indices.to_numpy(zero_copy_only=False)])
+        yield pa.RecordBatch.from_arrays([*columns, n_words, *_columns(bounds, first, end, pairs, sorted(ids))], names=[*b.schema.names[: len(columns)], *found_names])
 
 
 def annotate(docs: DataFrame, items: DataFrame) -> DataFrame:
     """``docs`` with three more columns at its end: the number of words; first, end, first, end, ... of hit words, apart and in order; ids of items, sorted as strings.
 
-    They are named _words, _spans and _items, with underscores after that where ``docs`` has such names.
+    They are named _words, _spans and _items, with underscores after that where ``docs`` has such names. With more than one block of items,
+    ``docs`` is read once for each, so it should come from a table.
     """
     bound_batches(docs.sparkSession)
     known = items.select(F.col("item_id").cast("string").alias("i"), F.col("text").cast("string").alias("t")).where("i IS NOT NULL AND t IS NOT NULL")
@@ -162,13 +236,29 @@ def annotate(docs: DataFrame, items: DataFrame) -> DataFrame:
     blocks = max(1, -(-size // ITEM_BYTES))
     names = free_names(docs, "_words", "_spans", "_items")
     schema = StructType([*docs.schema, *map(StructField, names, FOUND)])
-    out = docs
-    for b in range(blocks):
-        index = Index([(r["i"], r["t"]) for r in known.where(F.pmod(F.xxhash64("i", "t"), F.lit(blocks)) == b).collect()])
-        out = out.mapInArrow(lambda it, index=index, later=b > 0: _scan(index, later, names, it), schema)
-        if blocks > 1:
-            out = settle(out, "hits")
-    return out
+    index = lambda b: Index([(r["i"], r["t"]) for r in known.where(F.pmod(F.xxhash64("i", "t"), F.lit(blocks)) == b).collect()])
+    out = docs.mapInArrow(lambda it, index=index(0): _scan(index, names, it), schema)
+    return out if blocks == 1 else _with_further(docs, out, schema, names, map(index, range(1, blocks)))
+
+
+def _with_further(docs: DataFrame, out: DataFrame, schema: StructType, names: list[str], further: Iterator[Index]) -> DataFrame:
+    """``out``, annotated with the first block, with the hits of further ones. Equal texts share their hits."""
+    digest = F.sha2(F.col("text").cast("binary"), 256)
+    texts = docs.where("text IS NOT NULL").select("text", digest.alias("digest"))
+    kind = "digest string, spans array<bigint>, items array<string>"
+    parts = [settle(texts.mapInArrow(lambda it, index=index: _only_hits(index, it), kind).distinct(), "hits") for index in further]
+    both = reduce(DataFrame.unionByName, parts).groupBy("digest").agg(F.flatten(F.collect_list("spans")).alias("spans"), F.flatten(F.collect_list("items")).alias("items"))
+    hits = settle(both, "hits")
+    size = hits.agg(F.sum(F.size("spans") * 8 + F.octet_length(F.array_join("items", ",")) + 100)).first()[0] or 0
+    key, salt, more_spans, more_items = free_names(out, "_digest", "_salt", "_more_spans", "_more_items")
+    hits = hits.toDF(key, more_spans, more_items)
+    out = out.withColumn(key, digest)
+    if size <= HIT_BYTES:
+        met = out.join(F.broadcast(hits), key, "left")
+    else:  # rows of one text meet its hits in several tasks
+        hits = hits.withColumn(salt, F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+        met = out.withColumn(salt, F.pmod(F.spark_partition_id(), F.lit(SALTS))).join(hits, [key, salt], "left")
+    return met.select(*out.drop(key).columns, more_spans, more_items).mapInArrow(lambda it: _united(names, it), schema)
 
 
 def report(docs: DataFrame, items: DataFrame) -> DataFrame:

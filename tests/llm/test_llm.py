@@ -150,9 +150,10 @@ def plain_hits(text, items):
     return len(w), len(hit), len(ids), hashlib.sha256(",".join(sorted(ids)).encode()).hexdigest(), bool(hit)
 
 
-@pytest.mark.parametrize("block", [16_000_000, 700])
-def test_decontamination(spark, monkeypatch, block):
-    monkeypatch.setattr(decontamination, "ITEM_BYTES", block)
+@pytest.mark.parametrize(("block", "pairs", "small"), [(16_000_000, 1_000_000, 0), (16_000_000, 2, 0), (700, 1_000_000, 64_000_000), (300, 5, 0)])
+def test_decontamination(spark, monkeypatch, block, pairs, small):
+    for name, value in (("ITEM_BYTES", block), ("PAIRS", pairs), ("HIT_BYTES", small)):
+        monkeypatch.setattr(decontamination, name, value)
     r = random.Random(3)
     v = [f"w{i}" for i in range(14)]
     line = lambda n: " ".join(r.choices(v, k=n))
@@ -171,6 +172,22 @@ def test_decontamination(spark, monkeypatch, block):
     assert {x["doc_id"] for x in clean.collect()} == {i for i, t in enumerate(texts) if not plain_hits(t, items)[1]}
 
 
+def test_runs_equal_brute_force_over_small_vocabularies(monkeypatch):
+    r = random.Random(5)
+    for k in range(150):
+        monkeypatch.setattr(decontamination, "PAIRS", r.choice([1, 7, 1_000_000]))
+        v = [f"w{i}" for i in range(r.choice([1, 2, 3, 6]))]
+        line = lambda n: " ".join(r.choices(v, k=n))
+        items = [(str(r.randint(0, 4)), line(r.randint(0, 30))) for _ in range(r.randint(1, 6))]
+        texts = [line(r.randint(0, 60)) for _ in range(r.randint(1, 6))]
+        texts += [f"x {t} y" for _, t in items[:2]]
+        n_words, spans, ids = decontamination.Index(items).found(pa.array(texts))
+        for n, s, i, text in zip(n_words.to_pylist(), spans.to_pylist(), ids.to_pylist(), texts, strict=True):
+            hit = [p for a, z in zip(s[::2], s[1::2], strict=True) for p in range(a, z)]
+            got = n, len(hit), len(i), hashlib.sha256(",".join(i).encode()).hexdigest(), bool(hit)
+            assert got == plain_hits(text, items) and len(hit) == len(set(hit)) and s == sorted(s), k
+
+
 def test_decontamination_without_items(spark):
     items = spark.createDataFrame([], "item_id long, text string")
     row = decontamination.report(docs_of(spark, ["a b c"]), items).first()
