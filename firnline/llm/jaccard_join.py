@@ -7,8 +7,8 @@
 3. Each cluster's sets, rarest n-gram first, are stored in a trie. All sets walk it level by
    level together, so that partial overlaps with a shared prefix are counted once, and a subtree is left
    when the n-grams that remain on either side cannot reach the threshold.
-   A cluster beyond ``TILE`` n-grams is joined in tiles, each a trie of one part that
-   another part walks.
+   A cluster beyond ``TILE`` n-grams is cut into bands of sizes, of which only neighbours can hold linked sets, and each band into
+   tiles; a tile is a trie that the tiles of its own band and of the next walk.
 
 Linked means 100 * |A and B| >= PERCENT * |A or B|. The join is exact up to collisions of 64-bit
 hashes: no candidate is dropped and nothing is capped. A null text, or one without words, has
@@ -24,7 +24,7 @@ from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .components import connected
@@ -350,6 +350,20 @@ def _classed(mine: DataFrame, classes: DataFrame, often: int) -> DataFrame:
     return mine.join(hot, keys).unionByName(rest)
 
 
+def _band(size: str) -> Column:
+    """The group of a set's size: linked sets are in one group or in neighbouring ones."""
+    lows = F.array(*[F.lit(int(x)) for x in size_groups()[0]])
+    return (F.size(F.filter(lows, lambda low: low <= F.col(size))) - 1).cast("long")
+
+
+def _bands(members: DataFrame) -> DataFrame:
+    """Of clusters beyond TILE n-grams, for each band its tiles, and those of the band above and of the one below."""
+    large = small(settle(members.groupBy("cluster").agg(F.sum("size").alias("load")).where(F.col("load") > TILE).select("cluster"), "large"))
+    bands = members.join(large, "cluster").groupBy("cluster", _band("size").alias("band")).agg((F.floor(F.sum("size") / TILE) + 1).cast("long").alias("tiles"))
+    order = Window.partitionBy("cluster").orderBy("band").rangeBetween
+    return settle(bands.select("*", F.coalesce(F.sum("tiles").over(order(1, 1)), F.lit(0)).alias("above"), F.coalesce(F.sum("tiles").over(order(-1, -1)), F.lit(0)).alias("below")), "bands")
+
+
 def join(docs: DataFrame) -> DataFrame:
     """(doc_id, n_shingles, component_id, n_links) of every row of ``docs``.
 
@@ -367,20 +381,22 @@ def join(docs: DataFrame) -> DataFrame:
     edges = edges.join(rep_of.selectExpr("doc AS a", "rep AS ra"), "a").join(rep_of.selectExpr("doc AS b", "rep AS rb"), "b").selectExpr("ra AS a", "rb AS b")
     clusters = connected(edges).selectExpr("node AS rep", "component AS cluster")
     members = settle(known.where("doc = rep").select("rep", "size", "copies").distinct().join(clusters, "rep"), "members")
-    loads = members.groupBy("cluster").agg((F.floor(F.sum("size") / TILE) + 1).cast("int").alias("tiles"), F.sum("size").alias("load"))
-    total = loads.where("tiles = 1").agg(F.sum("load")).first()[0] or 0
-    batches = int(2 * total // TILE + 1)
-    wanted = members.join(loads, "cluster").select("rep", "cluster", "copies", "tiles")
+    plan = _bands(members)
+    cut = plan.limit(1).count() > 0
+    whole = members.join(small(plan.select("cluster").distinct()), "cluster", "left_anti") if cut else members
+    batches = int(2 * (whole.agg(F.sum("size")).first()[0] or 0) // TILE + 1)
+    wanted = members.withColumn("band", _band("size")).join(small(plan), ["cluster", "band"], "left").select("rep", "cluster", "copies", "band", "tiles", "above", "below")
     wanted = F.broadcast(wanted) if members.count() <= BROADCAST_ROWS else wanted
-    sets = docs.join(wanted, docs["doc_id"] == wanted["rep"]).select("text", "rep", "cluster", "copies", "tiles").mapInArrow(_sets, "rep long, cluster long, copies long, tiles int, items binary")
-    part = F.pmod(F.xxhash64("rep"), F.col("tiles"))
-    tiled = sets.withColumn("p", part).withColumn("q", F.explode(F.expr("sequence(0L, tiles - 1L)"))).selectExpr(
-        "CASE WHEN tiles = 1 THEN pmod(xxhash64(cluster), %d) ELSE xxhash64(cluster, least(p, q), greatest(p, q)) END AS unit" % batches,
-        "rep", "cluster", "copies", "items", "CASE WHEN p = q THEN 0 WHEN p < q THEN 1 ELSE 2 END AS side",
-    )
+    sets = docs.join(wanted, docs["doc_id"] == wanted["rep"]).select("text", *wanted.columns)
+    sets = sets.mapInArrow(_sets, "rep long, cluster long, copies long, band long, tiles long, above long, below long, items binary")
+    met_in = F.expr(f"""CASE WHEN tiles IS NULL THEN array(named_struct('unit', pmod(xxhash64(cluster), {batches}L), 'side', 0)) ELSE concat(
+        transform(sequence(0L, tiles - 1), q -> named_struct('unit', xxhash64(cluster, band, least(p, q), band, greatest(p, q)), 'side', CASE WHEN p = q THEN 0 WHEN p < q THEN 1 ELSE 2 END)),
+        transform(slice(sequence(0L, above), 1, int(above)), q -> named_struct('unit', xxhash64(cluster, band, p, band + 1, q), 'side', 1)),
+        transform(slice(sequence(0L, below), 1, int(below)), q -> named_struct('unit', xxhash64(cluster, band - 1, q, band, p), 'side', 2))) END""")
+    tiled = sets.withColumn("p", F.expr("pmod(xxhash64(rep), tiles)")).select(F.explode(met_in).alias("at"), "rep", "cluster", "copies", "items").select("at.unit", "rep", "cluster", "copies", "items", "at.side")
     met = settle(tiled.groupBy("unit").applyInArrow(_joined, "rep long, cluster long, root long, links long"), "links")
     linked = met.groupBy("rep").agg(F.min("root").alias("root"), F.sum("links").alias("links"))
-    if loads.where("tiles > 1").limit(1).count():
+    if cut:
         across = connected(met.selectExpr("rep AS a", "root AS b")).selectExpr("node AS rep", "component")
         linked = linked.join(across, "rep", "left").selectExpr("rep", "coalesce(component, root) AS root", "links")
     crowded = known.where(F.col("copies") >= often)  # again, no large class meets in one task

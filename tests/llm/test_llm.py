@@ -430,6 +430,23 @@ def test_jaccard_join(spark, monkeypatch, texts, tile):
     assert kept == {i for i in range(n) if root[i] == i}
 
 
+def test_large_clusters_lose_no_link_between_bands(spark, monkeypatch):
+    monkeypatch.setattr(jaccard_join, "TILE", 700)
+    r = random.Random(8)
+    base = [f"w{i}" for i in range(900)]
+    texts = [" ".join(base[r.randint(0, 2) :][: int(40 * 1.04**k)] + [f"x{k}"] * (k % 3)) for k in range(75)]
+    texts += [" ".join(r.sample(base, 30) + base[:200]) for _ in range(10)]
+    r.shuffle(texts)
+    sets = [shingle_set(t) for t in texts]
+    n = len(texts)
+    links = [[j for j in range(n) if i != j and 100 * len(sets[i] & sets[j]) >= 85 * len(sets[i] | sets[j])] for i in range(n)]
+    root = list(range(n))
+    for _ in range(n):
+        root = [min([root[i], *(root[j] for j in links[i])]) for i in range(n)]
+    found = {r["doc_id"]: (r["component_id"], r["n_links"]) for r in jaccard_join.join(docs_of(spark, texts)).collect()}
+    assert found == {i: (root[i], len(links[i])) for i in range(n)} and max(map(len, links)) > 5
+
+
 def test_trie_and_signatures_lose_no_link():
     r = random.Random(4)
     for _ in range(25):
