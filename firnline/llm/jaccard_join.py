@@ -21,6 +21,7 @@ from __future__ import annotations
 import hashlib
 from collections.abc import Iterator
 from functools import lru_cache
+from itertools import combinations
 
 import numpy as np
 import pyarrow as pa
@@ -36,6 +37,8 @@ K, PERCENT = 4, 85
 TILE = 400_000
 #: Signatures that a task holds before it sends one row for each.
 HELD = 1_000_000
+#: Empty parts that make a signature together, so that sets of like sizes do not meet by one.
+EMPTY = 3
 _U = np.uint64
 
 
@@ -51,31 +54,40 @@ def size_groups() -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         nxt = lows[-1] * 100 // PERCENT + 1
         a = nxt - 1
         differ = (a + a * 100 // PERCENT) * (100 - PERCENT) // (100 + PERCENT)
-        extra = differ // 40 + (differ > 0)
+        extra = differ // 8 + min(differ, EMPTY - 1)
         parts.append(differ + 1 + extra)
         spare.append(extra)
         lows.append(nxt)
     return np.array(lows), np.array(parts), np.array(spare)
 
 
-def signatures(values: np.ndarray) -> np.ndarray:
-    """Signatures of one set (sorted distinct values), for its own size group and the one below."""
+def signed_parts(values: np.ndarray) -> list[tuple[np.ndarray, int]]:
+    """Signatures of one set (sorted distinct values) for its own size group and for the one below, each with how many of them any linked set has, too."""
     lows, parts, spare = size_groups()
     own = int(np.searchsorted(lows, len(values), "right")) - 1
     mixed = mix(values + _U(0x9E3779B97F4A7C15))
     out = []
     for g in (own, own - 1):
         if g < 0 or g == own - 1 and len(values) * PERCENT > (int(lows[own]) - 1) * 100:
-            continue  # too large for any set of the group below
+            out.append((np.zeros(0, _U), 1))  # too large for any set of the group below
+            continue
         m = int(parts[g])
         part = ((values >> _U(32)) * _U(m)) >> _U(32)
         starts = np.flatnonzero(np.concatenate([[True], part[1:] != part[:-1]]))
         tag = mix(part[starts] * _U(1 << 20) + _U(g * 2))
-        out.append(mix(np.add.reduceat(mixed, starts) + tag))
-        if m - len(starts) > int(spare[g]):
-            empty = np.setdiff1d(np.arange(m, dtype=_U), part[starts], assume_unique=True)
-            out.append(mix(mix(empty * _U(1 << 20) + _U(g * 2 + 1))))
-    return np.concatenate(out)
+        found = mix(np.add.reduceat(mixed, starts) + tag)
+        beyond = m - len(starts) - int(spare[g])
+        if beyond > 0:  # where no filled part agrees, more than the spare ones agree as empty: the first few of those are among these
+            few = min(EMPTY, int(spare[g]) + 1)
+            empty = np.setdiff1d(np.arange(m, dtype=_U), part[starts], assume_unique=True)[: beyond + few - 1]
+            each = mix(empty * _U(1 << 20) + _U(g * 2 + 1))
+            found = np.concatenate([found, mix(each[list(combinations(range(len(each)), few))].sum(1, dtype=_U))])
+        out.append((found, max(1, 1 - beyond)))
+    return out
+
+
+def signatures(values: np.ndarray) -> np.ndarray:
+    return np.concatenate([found for found, _ in signed_parts(values)])
 
 
 def _least(keys: np.ndarray, ids: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
@@ -94,27 +106,30 @@ def _least(keys: np.ndarray, ids: np.ndarray) -> tuple[np.ndarray, np.ndarray, n
 
 
 _ROWS = "kind int, key long, doc long, size long, d1 long, d2 long"
-_DOC, _SIGN, _EDGE = 0, 1, 2
+#: Documents; signatures for a set's own size group and for the one below, whose size is how many of them a linked set has at least; edges.
+_DOC, _OWN, _BELOW, _EDGE = 0, 1, 2, 3
 
 
-def _rows(kind: int, key, doc, size=None, d1=None, d2=None) -> pa.RecordBatch:
+def _rows(kind, key, doc, size=None, d1=None, d2=None) -> pa.RecordBatch:
     n = len(key)
     blank = pa.nulls(n, pa.int64())
     wide = lambda x: blank if x is None else pa.array(x, pa.int64())
-    return pa.RecordBatch.from_arrays([pa.array(np.full(n, kind, np.int32)), *map(wide, (key, doc, size, d1, d2))], names=["kind", "key", "doc", "size", "d1", "d2"])
+    return pa.RecordBatch.from_arrays([pa.array(np.broadcast_to(np.int32(kind), n)), *map(wide, (key, doc, size, d1, d2))], names=["kind", "key", "doc", "size", "d1", "d2"])
 
 
 def _signed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    held: list[tuple[np.ndarray, int]] = []
+    """A row for each document, and the signatures of each distinct set under the least of its documents here."""
+    held: dict[bytes, tuple[int, list[tuple[np.ndarray, int]]]] = {}
     n = 0
 
     def flush() -> Iterator[pa.RecordBatch]:
-        keys = np.concatenate([k for k, _ in held]).view(np.int64)
-        ids = np.repeat(np.array([d for _, d in held]), [len(k) for k, _ in held])
-        keys, least, a, b = _least(keys, ids)
-        for i in range(0, len(keys), 100_000):
-            yield _rows(_SIGN, keys[i : i + 100_000], least[i : i + 100_000])
-        yield _rows(_EDGE, a, b)
+        flat = [(kind, doc, need, keys) for doc, found in held.values() for kind, (keys, need) in zip((_OWN, _BELOW), found, strict=True)]
+        sizes = [len(keys) for *_, keys in flat]
+        kind, doc, need = (np.repeat(np.array(x), sizes) for x in list(zip(*flat, strict=True))[:3])
+        key = np.concatenate([keys for *_, keys in flat]).view(np.int64)
+        for i in range(0, len(key), 100_000):
+            at = slice(i, i + 100_000)
+            yield _rows(kind[at].astype(np.int32), key[at], doc[at], need[at])
 
     for batch in batches:
         ids = batch.column(0).to_pylist()
@@ -125,8 +140,11 @@ def _signed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 sizes.append(len(values))
                 digests.append(hashlib.blake2b(values.tobytes(), digest_size=16).digest())
                 if len(values) and ids[i] is not None:
-                    held.append((signatures(values), ids[i]))
-                    n += len(held[-1][0])
+                    if digests[-1] in held:
+                        held[digests[-1]] = min(held[digests[-1]][0], ids[i]), held[digests[-1]][1]
+                    else:
+                        held[digests[-1]] = ids[i], signed_parts(values)
+                        n += sum(len(keys) for keys, _ in held[digests[-1]][1])
             if n > HELD:
                 yield from flush()
                 held.clear()
@@ -137,27 +155,70 @@ def _signed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield from flush()
 
 
-def _starred(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Document rows and edges as they are; signatures as star edges."""
-    keys, docs, n = [], [], 0
+def _shared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Document rows as they are; of signatures, of which all rows are here, those that several documents have."""
+    held = []
     for batch in batches:
-        kind = batch.column(0).to_numpy()
-        sign = kind == _SIGN
+        sign = batch.column(0).to_numpy() != _DOC
         rest = batch.filter(pa.array(~sign))
         if rest.num_rows:
             yield rest
-        keys.append(batch.column(1).to_numpy()[sign])
-        docs.append(batch.column(2).to_numpy(zero_copy_only=False)[sign].astype(np.int64))
+        held.append([batch.column(c).to_numpy(zero_copy_only=False)[sign].astype(np.int32 if c in (0, 3) else np.int64) for c in range(4)])
+    if not held:
+        return
+    kind, key, doc, need = (np.concatenate(x) for x in zip(*held, strict=True))
+    held.clear()
+    order = np.argsort(key)
+    same = key[order[1:]] == key[order[:-1]]
+    order = order[np.concatenate([[False], same]) | np.concatenate([same, [False]])] if len(order) else order
+    order = order[np.lexsort((doc[order], key[order]))]
+    kind, key, doc, need = kind[order], key[order], doc[order], need[order]
+    new = np.concatenate([[True], (key[1:] != key[:-1]) | (doc[1:] != doc[:-1])])[: len(key)]  # a row that comes twice is one document
+    kind, key, doc, need = kind[new], key[new], doc[new], need[new]
+    same = key[1:] == key[:-1]
+    several = (np.concatenate([[False], same]) | np.concatenate([same, [False]]))[: len(key)]
+    kind, key, doc, need = kind[several], key[several], doc[several], need[several]
+    for i in range(0, len(key), 100_000):
+        at = slice(i, i + 100_000)
+        yield _rows(kind[at], key[at], doc[at], need[at])
+
+
+def _starred(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Signatures with their least document here, and star edges to it; edges as they are."""
+    keys, docs, n = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)], 0
+    for batch in batches:
+        edge = batch.column(0).to_numpy() == _EDGE
+        rest = batch.filter(pa.array(edge))
+        if rest.num_rows:
+            yield rest
+        keys.append(batch.column(1).to_numpy()[~edge])
+        docs.append(batch.column(2).to_numpy()[~edge])
         n += len(keys[-1])
         if n > 4 * HELD:  # one row for each signature is enough to go on with
             key, doc, a, b = _least(np.concatenate(keys), np.concatenate(docs))
             keys, docs, n = [key], [doc], 0
             yield _rows(_EDGE, a, b)
-    if keys:
-        _, _, a, b = _least(np.concatenate(keys), np.concatenate(docs))
+    if n:
+        key, doc, a, b = _least(np.concatenate(keys), np.concatenate(docs))
+        for i in range(0, len(key), 100_000):
+            yield _rows(_OWN, key[i : i + 100_000], doc[i : i + 100_000])
         yield _rows(_EDGE, a, b)
 
 
+def _edges(signed: DataFrame, known: DataFrame) -> DataFrame:
+    """Star edges (a, b) of classes that may have links.
+
+    A document that shares fewer signatures with other classes, in a size group, than any linked set would share, has no link there.
+    Sets that have only some common passage in common are nearly all gone so, however many there are.
+    """
+    copies = settle(known.where("doc <> rep").select("doc").distinct(), "copies")
+    apart = signed.where(f"kind <> {_DOC}").join(small(copies), "doc", "left_anti").select(*signed.columns)
+    met = settle(apart.repartition("key").mapInArrow(_shared, _ROWS), "met")
+    able = met.groupBy("doc", "kind").agg(F.count("*").alias("n"), F.max("size").alias("need")).where("n >= need").select("doc", "kind")
+    left = met.join(able, ["doc", "kind"], "left_semi").select(*met.columns)
+    return left.mapInArrow(_starred, _ROWS).repartition("key").mapInArrow(_starred, _ROWS).where(f"kind = {_EDGE}").selectExpr("key AS a", "doc AS b").distinct()
+
+
 def _need(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     """The least intersection of two linked sets of these sizes."""
     return -((-PERCENT * (a + b)) // (100 + PERCENT))
@@ -371,15 +432,12 @@ def join(docs: DataFrame) -> DataFrame:
     counts the linked documents, copies of its own set included.
     """
     docs = id_text(docs)
-    signed = settle(docs.mapInArrow(_signed, _ROWS).repartition("key").mapInArrow(_starred, _ROWS), "signed")
+    signed = settle(docs.mapInArrow(_signed, _ROWS).repartition("key").mapInArrow(_shared, _ROWS), "signed")
     mine = signed.where(f"kind = {_DOC}").selectExpr("doc", "size", "d1", "d2")
     classes = mine.where("size > 0 AND doc IS NOT NULL").groupBy("d1", "d2").agg(F.min("doc").alias("rep"), F.countDistinct("doc").alias("copies"))
     often = max(OFTEN, mine.count() // 1000)
     known = settle(_classed(mine, classes, often).select("doc", "size", "rep", "copies"), "classes")
-    rep_of = known.where("rep IS NOT NULL").select("doc", "rep").distinct()
-    edges = signed.where(f"kind = {_EDGE}").selectExpr("key AS a", "doc AS b").distinct()
-    edges = edges.join(rep_of.selectExpr("doc AS a", "rep AS ra"), "a").join(rep_of.selectExpr("doc AS b", "rep AS rb"), "b").selectExpr("ra AS a", "rb AS b")
-    clusters = connected(edges).selectExpr("node AS rep", "component AS cluster")
+    clusters = connected(_edges(signed, known)).selectExpr("node AS rep", "component AS cluster")
     members = settle(known.where("doc = rep").select("rep", "size", "copies").distinct().join(clusters, "rep"), "members")
     plan = _bands(members)
     cut = plan.limit(1).count() > 0

@@ -473,6 +473,40 @@ def test_trie_and_signatures_lose_no_link():
         signs = [set(jaccard_join.signatures(np.array(sorted(s), np.uint64)).tolist()) for s in sets]
         assert all(signs[i] & signs[j] for i, j in want)
 
+def test_common_passages_make_no_large_cluster(spark):
+    """Documents with passages in common, but not alike, do not meet, however many they are; those that are alike still do."""
+    r = random.Random(9)
+    passages = [" ".join(f"p{i}-{j}" for j in range(20)) for i in range(30)]
+    prose = lambda n: [f"w{r.randrange(10**6)}" for _ in range(n)]
+    texts = [" ".join([*prose(r.randint(30, 200)), r.choice(passages), *prose(r.randint(30, 200)), r.choice(passages)]) for _ in range(3000)]
+    texts += [" ".join([*t.split(" ")[:-3], "other", "words"]) for t in texts[:50]]
+    docs = docs_of(spark, texts)
+    signed = docs.select("doc_id", "text").mapInArrow(jaccard_join._signed, jaccard_join._ROWS).repartition("key").mapInArrow(jaccard_join._shared, jaccard_join._ROWS)
+    known = signed.where("kind = 0").selectExpr("doc", "doc AS rep")
+    met = connected(jaccard_join._edges(signed, known)).groupBy("component").count()
+    assert 50 <= met.count() and met.agg({"count": "max"}).first()[0] <= 4
+    links = {r["doc_id"]: r["component_id"] for r in jaccard_join.join(docs).where("n_links > 0").collect()}
+    assert links == {i: i % 3000 for i in [*range(50), *range(3000, 3050)]}
+
+
+def test_linked_sets_share_as_many_signatures_as_they_need():
+    """Small and large, also where so many parts are empty that these sign together."""
+    r = np.random.default_rng(5)
+    few = pairs = 0
+    for n in [*range(1, 60), *(int(x) for x in r.integers(60, 900, 60))]:
+        top = 1 << 63 if n > 100 else int(r.choice([1 << 63, 13 << 59]))  # the latter leaves parts empty
+        for _ in range(12):
+            base = r.integers(0, top, n, np.uint64) * np.uint64(2)
+            lost, added = (int(x) for x in r.multinomial(r.integers(0, n * 15 // 100 + 1), [0.5, 0.5]))
+            a, b = np.unique(base), np.unique(np.concatenate([base[lost:], r.integers(0, top, added, np.uint64) * np.uint64(2)]))
+            if 100 * len(np.intersect1d(a, b)) < 85 * len(np.union1d(a, b)):
+                continue
+            pairs += 1
+            found = [(len(np.intersect1d(x, y)), max(p, q)) for x, p in jaccard_join.signed_parts(a) for y, q in jaccard_join.signed_parts(b)]
+            assert any(common >= need for common, need in found)
+            few += n > 30 and top < 1 << 63 and min(need for _, need in found) == 1
+    assert pairs > 1000 and few > 10
+
 
 def test_components(spark):
     r = random.Random(6)
