@@ -1,8 +1,8 @@
 """Jaccard self-join of n-gram sets with prefix trees.
 
 1. One pass over the texts gives each document its set's size and digest, and signatures: the
-   set is cut into so many parts by value that two linked sets must agree in one whole part.
-2. Documents with a signature in common form candidate clusters (components of star edges, one
+   set is cut into so many parts by value that two linked sets must agree in several whole parts.
+2. Documents with enough signatures in common with others form candidate clusters (components of star edges, one
    edge for each member, never all pairs). Equal sets are one class from there on.
 3. Each cluster's sets, rarest n-gram first, are stored in a trie. All sets walk it level by
    level together, so that partial overlaps with a shared prefix are counted once, and a subtree is left

@@ -489,6 +489,21 @@ def test_common_passages_make_no_large_cluster(spark):
     assert links == {i: i % 3000 for i in [*range(50), *range(3000, 3050)]}
 
 
+def test_pipeline_keeps_documents_with_common_passages_apart(spark, monkeypatch):
+    """Its stage cuts no cluster into tiles where documents have only passages in common."""
+    import corpus_pipeline
+
+    r = random.Random(10)
+    passages = [" ".join(f"p{i}-{j}" for j in range(20)) for i in range(20)]
+    texts = [" ".join([*(f"w{r.randrange(10**6)}" for _ in range(r.randint(60, 90))), *r.sample(passages, 2)]) for _ in range(2000)]
+    largest = []
+    bands = jaccard_join._bands
+    monkeypatch.setattr(jaccard_join, "_bands", lambda members: largest.append(members.groupBy("cluster").count().agg({"count": "max"}).first()[0]) or bands(members))
+    docs = docs_of(spark, [*texts, texts[7] + " x", texts[7]])
+    kept = {r["doc_id"] for r in corpus_pipeline.keep_one_of_alike(spark, docs, "").collect()}
+    assert kept == set(range(2000)) and largest[0] <= 4
+
+
 def test_linked_sets_share_as_many_signatures_as_they_need():
     """Small and large, also where so many parts are empty that these sign together."""
     r = np.random.default_rng(5)
