@@ -12,9 +12,9 @@ words, the end, and one unseen word for each class.
 Nothing bounds the number of contexts, words or symbols: the tree is as large as the texts make it. It is never in one
 place. Texts are read in chunks; each chunk asks for its distinct places (context and next word), with their counts, where the
 context's last word is at home; that partition holds all longer contexts too, decides which are kept,
-and answers with one number for each place; the chunk adds them up. A last word of more than half a partition's places is
-split by the class of the word before it, and a pair of two such words by the class of the one before that; these classes then are
-the shortest contexts. Equal places of a chunk are asked for once, so that no repeated passage loads one partition.
+and answers with one number for each place; the chunk adds them up. The places of a last word of more than half a partition's places are
+spread by the class of the word before it, and those of a pair of two such words by the class of the one before that. What follows such words and pairs is counted over
+all partitions before, so that how many there are decides no score. Equal places of a chunk are asked for once, so that no repeated passage loads one partition.
 
 Broadcast are at most ``1 / FREQUENT`` words. Null and empty texts consist of the end alone. Repeated rows are learned and scored each.
 A row without doc_id is learned from. An empty training part leaves uniform distributions; an empty table gives no rows. Very long
@@ -175,8 +175,12 @@ class Root:
         return ((keys >> _U(40)) * _U(self.parts) >> _U(24)).astype(np.int64)
 
     def contexts(self, last: np.ndarray, one: np.ndarray, two: np.ndarray, three: np.ndarray) -> np.ndarray:
-        """The shortest contexts: the last word's key, or that with a class of what is before it. ``one``, ``two`` and ``three`` are the symbols before a place."""
-        out = mix(last)
+        """The shortest contexts: the last word's key. ``one``, ``two`` and ``three`` are the symbols before a place."""
+        return mix(last)
+
+    def homes(self, contexts: np.ndarray, one: np.ndarray, two: np.ndarray, three: np.ndarray) -> np.ndarray:
+        """Where places are at home: their shortest context's key, or that with a class of what is before it. No distribution depends on it."""
+        out = contexts.copy()
         if not self.crowded.any():
             return out
         load = lambda s: np.where(s < len(self.keys), self.crowded[np.minimum(s, len(self.keys) - 1)], 0)
@@ -191,6 +195,38 @@ class Root:
         return out
 
 
+@dataclass
+class Common:
+    """What all partitions know of contexts that several of them hold: crowded words (by rank), and pairs of them."""
+
+    words: int
+    kept: np.ndarray
+    pairs: np.ndarray  # ascending
+    seen: np.ndarray
+    pair_kept: np.ndarray
+
+    def at(self, pairs: np.ndarray) -> np.ndarray:
+        return np.searchsorted(self.pairs, pairs)
+
+
+class Line:
+    """The places of a block of texts."""
+
+    def __init__(self, root: Root, w: Words):
+        self.n = np.diff(w.bounds) + 1
+        self.owner = np.repeat(np.arange(w.texts), self.n)
+        self.begin = np.cumsum(self.n) - self.n
+        nth = np.arange(len(self.owner)) - self.begin[self.owner]
+        self.keys, self.symbols = np.full(len(self.owner), END_WORD, _U), np.full(len(self.owner), END, np.uint32)
+        real = np.flatnonzero(nth < self.n[self.owner] - 1)
+        self.keys[real] = word_keys(w)
+        self.symbols[real] = root.symbols(self.keys[real])
+        self.at = at = np.flatnonzero(nth >= 1)
+        back = lambda d: np.where(nth[at] >= d, self.symbols[np.maximum(at - d, 0)], np.uint32(BEFORE))
+        self.one, self.two, self.three = self.symbols[at - 1], back(2), back(3)
+        self.home = root.homes(root.contexts(self.keys[at - 1], self.one, self.two, self.three), self.one, self.two, self.three)
+
+
 def pack(*arrays: np.ndarray) -> bytes:
     """Arrays in few bytes: by planes of bytes, compressed."""
     planes = b"".join(np.ascontiguousarray(a).view(np.uint8).reshape(len(a), a.itemsize).T.tobytes() for a in arrays)
@@ -218,14 +254,8 @@ class Chunk:
         self.docs: list[tuple[np.ndarray, ...]] = []
 
     def add(self, w: Words, ids: list, held: np.ndarray) -> None:
-        root, n = self.root, np.diff(w.bounds) + 1
-        owner = np.repeat(np.arange(w.texts), n)
-        begin = np.cumsum(n) - n
-        nth = np.arange(len(owner)) - begin[owner]
-        keys, symbols = np.full(len(owner), END_WORD, _U), np.full(len(owner), END, np.uint32)
-        real = np.flatnonzero(nth < n[owner] - 1)
-        keys[real] = word_keys(w)
-        symbols[real] = root.symbols(keys[real])
+        root, line = self.root, Line(self.root, w)
+        owner, begin, n, keys, symbols, at = line.owner, line.begin, line.n, line.keys, line.symbols, line.at
         known = symbols < len(root.keys)
         total = lambda values, at: np.bincount(owner[at], values, w.texts)
         self.docs.append((
@@ -234,10 +264,8 @@ class Chunk:
         ))
         rare = np.flatnonzero(symbols >= RARE)
         self.rare.append((keys[rare], (owner[rare] + self.texts).astype(np.uint32)))
-        at = np.flatnonzero(nth >= 1)
-        back = lambda d: np.where(nth[at] >= d, symbols[np.maximum(at - d, 0)], np.uint32(BEFORE))
-        two, three = back(2), back(3)
-        self.places.append((root.contexts(keys[at - 1], symbols[at - 1], two, three), two, three, symbols[at], (owner[at] + self.texts).astype(np.uint32)))
+        who = np.where(line.one < np.count_nonzero(root.crowded), line.one + 1, 0).astype(np.uint32)
+        self.places.append((line.home, line.two, line.three, symbols[at], (owner[at] + self.texts).astype(np.uint32), who))
         self.texts += w.texts
         self.size += len(owner)
 
@@ -245,13 +273,13 @@ class Chunk:
         """What is asked for, by partition; and, beyond the partitions, what the chunk needs to add up the answers."""
         doc = [np.concatenate(c) for c in zip(*self.docs, strict=True)]
         train = 1 - doc[2].astype(np.int64)
-        context, two, three, symbol, text = (np.concatenate(c) for c in zip(*self.places, strict=True))
+        context, two, three, symbol, text, who = (np.concatenate(c) for c in zip(*self.places, strict=True))
         exact = mix(mix(context + two) + (three.astype(_U) << _U(32) | symbol))
         order = np.argsort(context >> _U(40) << _U(40) | (two.astype(_U) & _U(0xFFFFFF)) << _U(16) | exact >> _U(48))
-        context, two, three, symbol, text = (x[order] for x in (context, two, three, symbol, text))
+        context, two, three, symbol, text, who = (x[order] for x in (context, two, three, symbol, text, who))
         first = np.flatnonzero(np.concatenate([[True], (context[1:] != context[:-1]) | (two[1:] != two[:-1]) | (three[1:] != three[:-1]) | (symbol[1:] != symbol[:-1])])) if len(order) else order
         often = np.add.reduceat(train[text], first).astype(np.uint32) if len(first) else np.zeros(0, np.uint32)
-        asked = context[first], two[first], three[first], symbol[first], often
+        asked, who = (context[first], two[first], three[first], symbol[first], often), who[first]
         word, word_text = (np.concatenate(c) for c in zip(*self.rare, strict=True))
         order = np.argsort(word)
         word, word_text = word[order], word_text[order]
@@ -266,7 +294,7 @@ class Chunk:
             runs = np.flatnonzero(np.concatenate([[True], mine[0][1:] != mine[0][:-1]])) if len(mine[0]) else np.zeros(0, np.int64)
             parts.append(p)
             own = mine[0][runs]  # a partition has few contexts, so that 40 bits tell them apart
-            bodies.append(pack((own >> _U(32)).astype(np.uint8), own.astype(np.uint32), np.diff(np.append(runs, len(mine[0]))).astype(np.uint32), *mine[1:], *(x[b[p] : b[p + 1]] for x in words_asked)))
+            bodies.append(pack((own >> _U(32)).astype(np.uint8), own.astype(np.uint32), np.diff(np.append(runs, len(mine[0]))).astype(np.uint32), who[a[p] : a[p + 1]][runs], *mine[1:], *(x[b[p] : b[p + 1]] for x in words_asked)))
         size = lambda first, n: np.diff(np.append(first, n)).astype(np.uint32)
         parts.append(self.root.parts + chunk % self.root.parts)
         bodies.append(pack(*doc, text, size(first, len(text)), word_text, size(word_first, len(word_text))))
@@ -308,43 +336,178 @@ class Groups:
         return out
 
 
-def chances(root: Root, context: np.ndarray, two: np.ndarray, three: np.ndarray, symbol: np.ndarray, often: np.ndarray) -> np.ndarray:
+def _count_common(root: Root, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Of places after a crowded word: (word, next symbol), and (word, word before, next symbol) of two crowded ones, by partition, with their training counts."""
+    crowd = np.count_nonzero(root.crowded)
+    held: list[tuple[np.ndarray, ...]] = []
+    n = 0
+
+    def flush() -> Iterator[pa.RecordBatch]:
+        key, part, often = (np.concatenate(x) for x in zip(*held, strict=True))
+        order = np.lexsort((part, key))
+        key, part, often = key[order], part[order], often[order]
+        first = np.flatnonzero(np.concatenate([[True], (key[1:] != key[:-1]) | (part[1:] != part[:-1])]))
+        key, part, often = key[first], part[first], np.add.reduceat(often, first)
+        ids = key >> _U(32)
+        word = np.where(ids < crowd, ids, (ids - _U(crowd)) // _U(crowd))
+        bucket = (mix(word << _U(32) | key & _U(0xFFFFFFFF)) % _U(root.parts)).astype(np.int64)
+        order = np.argsort(bucket, kind="stable")
+        bucket = bucket[order]
+        starts = np.flatnonzero(np.concatenate([[True], bucket[1:] != bucket[:-1]]))
+        bodies = [pack(key[x], part[x].astype(np.uint32), often[x].astype(np.uint32)) for x in np.split(order, starts[1:])]
+        yield pa.RecordBatch.from_arrays([pa.array(bucket[starts]), pa.array(bodies, pa.binary())], names=["bucket", "body"])
+
+    for batch in batches:
+        train = np.array([not is_held_out(i) for i in batch.column(0).to_pylist()], np.int64)
+        for w in words(batch.column(1), SPACED):
+            line = Line(root, w)
+            x = np.flatnonzero(line.one < crowd)
+            if not len(x):
+                continue
+            one, two, symbol = line.one[x].astype(_U), line.two[x].astype(_U), line.symbols[line.at[x]].astype(_U)
+            part, often = root.home(line.home[x]), train[w.first + line.owner[line.at[x]]]
+            both = np.flatnonzero(two < crowd)
+            pair = _U(crowd) + one[both] * _U(crowd) + two[both]
+            held.append((np.concatenate([one << _U(32) | symbol, pair << _U(32) | symbol[both]]), np.concatenate([part, part[both]]), np.concatenate([often, often[both]])))
+            n += len(held[-1][0])
+            if n > 2 * CHUNK:
+                yield from flush()
+                held.clear()
+                n = 0
+    if held:
+        yield from flush()
+
+
+def _sum_common(key: tuple, group: pa.Table) -> pa.Table:
+    """All of a next symbol's counts after a word are here: distinct keys, their counts in all, and the partitions that ask for each."""
+    keys, part, often = (np.concatenate(x) for x in zip(*(unpack(b.as_py()) for b in group.column("body")), strict=True))
+    order = np.lexsort((part, keys))
+    keys, part, often = keys[order], part[order], often[order].astype(np.int64)
+    new = np.concatenate([[True], keys[1:] != keys[:-1]])
+    first = np.flatnonzero(new)
+    total = np.add.reduceat(often, first)
+    apart = np.flatnonzero(new | np.concatenate([[True], part[1:] != part[:-1]]))
+    parts = np.diff(np.append(np.searchsorted(apart, first), len(apart)))
+    return pa.table({"bucket": pa.array([key[0].as_py()], pa.int64()), "body": pa.array([pack(keys[first], total, parts.astype(np.uint32), part[apart])], pa.binary())})
+
+
+def _gains(root: Root, common: Common | None, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """For each crowded word, or with ``common`` each pair of them, how often it was seen and how many nats it gains over its parent."""
+    crowd = np.count_nonzero(root.crowded)
+    for batch in batches:
+        for body in batch.column("body"):
+            keys, mine, _, _ = unpack(body.as_py())
+            ids, symbol = (keys >> _U(32)).astype(np.int64), keys.astype(np.uint32)
+            p, gain = root.p(symbol), np.zeros(len(keys))
+            single = ids < crowd
+            seen = root.counts[ids[single]]
+            if common is None:
+                without = (np.maximum(mine[single] - 1, 0) + WEIGHT * p[single]) / (seen - 1 + WEIGHT)
+                gain[single] = mine[single] * np.log(without / p[single])
+            else:
+                x = np.flatnonzero(~single)
+                word = (ids[x] - crowd) // crowd
+                count = mine[np.searchsorted(keys, word.astype(_U) << _U(32) | symbol[x].astype(_U))]
+                parent = np.where(common.kept[word], (count + WEIGHT * p[x]) / (root.counts[word] + WEIGHT), p[x])
+                without = (np.maximum(mine[x] - 1, 0) + WEIGHT * parent) / (np.maximum(common.seen[common.at(ids[x])] - 1, 0) + WEIGHT)
+                gain[x] = mine[x] * np.log(without / parent)
+            found, at = np.unique(ids, return_inverse=True)
+            yield pa.RecordBatch.from_arrays([pa.array(found), pa.array(np.bincount(at, mine, len(found)).astype(np.int64)), pa.array(np.bincount(at, gain, len(found)))], names=["id", "seen", "gain"])
+
+
+def _common(root: Root, counted: DataFrame) -> Common:
+    crowd = int(np.count_nonzero(root.crowded))
+    sums = lambda c: counted.mapInArrow(lambda it: _gains(root, c, it), "id long, seen long, gain double").groupBy("id").agg(F.sum("seen").alias("seen"), F.sum("gain").alias("gain")).orderBy("id").toArrow()
+    once = sums(None)
+    ids, seen, gain = (once.column(c).to_numpy() for c in ("id", "seen", "gain"))
+    kept = np.zeros(crowd, bool)
+    kept[ids[ids < crowd]] = gain[ids < crowd] >= GAIN
+    pair = ids >= crowd
+    out = Common(crowd, kept, ids[pair], seen[pair], np.zeros(int(pair.sum()), bool))
+    twice = sums(out)
+    out.pair_kept = twice.column("gain").to_numpy()[twice.column("id").to_numpy() >= crowd] >= GAIN
+    return out
+
+
+def _spread(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """To each partition the counts of those keys that others ask for, too."""
+    for batch in batches:
+        for body in batch.column("body"):
+            keys, total, parts, part = unpack(body.as_py())
+            several = np.repeat(parts > 1, parts)
+            keys, total, part = np.repeat(keys, parts)[several], np.repeat(total, parts)[several], part[several].astype(np.int64)
+            order = np.lexsort((keys, part))
+            keys, total, part = keys[order], total[order], part[order]
+            starts = np.flatnonzero(np.concatenate([[True], part[1:] != part[:-1]])) if len(part) else np.zeros(0, np.int64)
+            bodies = [pack(k, t) for k, t in zip(np.split(keys, starts[1:]), np.split(total.astype(np.uint32), starts[1:]), strict=True)] if len(starts) else []
+            yield pa.RecordBatch.from_arrays([pa.array(part[starts], pa.int64()), pa.array([-1] * len(starts), pa.int64()), pa.array(bodies, pa.binary())], names=["part", "chunk", "body"])
+
+
+def chances(
+    root: Root, context: np.ndarray, two: np.ndarray, three: np.ndarray, symbol: np.ndarray, often: np.ndarray,
+    who: np.ndarray | None = None, common: Common | None = None, keys: np.ndarray | None = None, totals: np.ndarray | None = None,
+) -> np.ndarray:
     """The probability of each place's symbol, from all places of the contexts and how often training texts have them.
 
     A place may come several times. From the shortest context on, each passes the test or leaves its parent's distribution standing.
+    ``who`` is a crowded last word's rank and one, else 0; other partitions hold places of its context, too: ``keys`` and ``totals`` are counts over all.
     """
     p, n = root.p(symbol), often.astype(np.float64)
     rows, key = np.arange(len(p)), context
+    if common:
+        key = np.where(who > 0, mix(who.astype(_U) + _U(0x5EED)), context)
     for depth in range(DEPTH):
         if depth:
             key = mix(key + (two, three)[depth - 1][rows].astype(_U) * _U(0x9E3779B97F4A7C15) + _U(depth))
         by_context = Groups(key)
         seen = by_context.sums(n[rows])
+        wide = np.zeros(len(rows), bool)
+        ids = np.zeros(len(rows), np.int64)
+        if common and depth < 2:
+            wide = who[rows] > 0
+            ids = who[rows].astype(np.int64) - 1
+            if depth:
+                wide &= two[rows] < common.words
+                ids = common.words + ids * common.words + two[rows]
+            seen[wide] = common.seen[common.at(ids[wide])] if depth else root.counts[ids[wide]]
         alive = seen >= 2
         if not alive.all():
-            rows, key = rows[alive], key[alive]
+            rows, key, wide, ids = rows[alive], key[alive], wide[alive], ids[alive]
             by_context, seen = Groups(key), seen[alive]
         mine = Groups(key + mix(symbol[rows].astype(_U) + _U(11))).sums(n[rows])
+        if wide.any() and len(keys):
+            x = np.flatnonzero(wide)
+            wanted = ids[x].astype(_U) << _U(32) | symbol[rows[x]].astype(_U)
+            at = np.minimum(np.searchsorted(keys, wanted), len(keys) - 1)
+            found = keys[at] == wanted
+            mine[x[found]] = totals[at[found]]
         parent, times = p[rows], n[rows]
         without = (np.maximum(mine - 1, 0) + WEIGHT * parent) / (seen - 1 + WEIGHT)
         kept = by_context.sums(times * np.log(without / parent)) >= GAIN
+        if wide.any():
+            kept[wide] = common.pair_kept[common.at(ids[wide])] if depth else common.kept[ids[wide]]
         p[rows[kept]] = ((mine + WEIGHT * parent) / (seen + WEIGHT))[kept]
     return p
 
 
-def _answer(root: Root, key: tuple, group: pa.Table) -> pa.Table:
+def _answer(root: Root, common: Common | None, key: tuple, group: pa.Table) -> pa.Table:
     """One number for each place that was asked for: log10 of its probability, to eleven bits; and the counts of rare words."""
-    part, bodies = key[0].as_py(), group.column("body")
+    part = key[0].as_py()
     kind = pa.schema([("chunk", pa.int64()), ("part", pa.int64()), ("body", pa.binary())])
     if part >= root.parts:
-        return pa.table({"chunk": group.column("chunk"), "part": pa.array([-1] * group.num_rows, pa.int64()), "body": bodies}, kind)
-    asked = [unpack(b.as_py()) for b in bodies]
+        return pa.table({"chunk": group.column("chunk"), "part": pa.array([-1] * group.num_rows, pa.int64()), "body": group.column("body")}, kind)
+    wide = group.column("chunk").to_numpy() < 0
+    told = [unpack(b.as_py()) for b in group.filter(pa.array(wide)).column("body")]
+    group = group.filter(pa.array(~wide))
+    keys, totals = np.concatenate([np.zeros(0, _U), *(t[0] for t in told)]), np.concatenate([np.zeros(0, np.uint32), *(t[1] for t in told)])
+    order = np.argsort(keys)
+    asked = [unpack(b.as_py()) for b in group.column("body")]
     join = lambda i: np.concatenate([a[i] for a in asked])
     context = np.repeat(join(0).astype(_U) << _U(32) | join(1), join(2))
-    logs = np.log10(chances(root, context, join(3), join(4), join(5), join(6))).astype(np.float16)
-    counts = Groups(join(7)).sums(join(8).astype(np.int64))
+    logs = np.log10(chances(root, context, join(4), join(5), join(6), join(7), np.repeat(join(3), join(2)), common, keys[order], totals[order])).astype(np.float16)
+    counts = Groups(join(8)).sums(join(9).astype(np.int64))
     ends = lambda i: np.cumsum([0, *(len(a[i]) for a in asked)])
-    a, b = ends(5), ends(7)
+    a, b = ends(6), ends(8)
     out = [pack(logs[a[i] : a[i + 1]], counts[b[i] : b[i + 1]]) for i in range(len(asked))]
     return pa.table({"chunk": group.column("chunk"), "part": pa.array([part] * len(out), pa.int64()), "body": pa.array(out, pa.binary())}, kind)
 
@@ -371,5 +534,11 @@ def score(docs: DataFrame) -> DataFrame:
     docs = id_text(docs)
     root = Root.of(settle(docs.mapInArrow(_count_words, "key long, n long").repartition("key").mapInArrow(_sum_keys, "key long, n long"), "vocabulary"))
     asked = docs.mapInArrow(lambda it: _ask(root, it), "part long, chunk long, body binary")
-    answers = asked.repartition(2 * root.parts, "part").groupBy("part").applyInArrow(lambda key, t: _answer(root, key, t), "chunk long, part long, body binary")
+    common = None
+    if root.crowded.any():
+        counted = docs.mapInArrow(lambda it: _count_common(root, it), "bucket long, body binary").repartition(2 * root.parts, "bucket")
+        counted = settle(counted.groupBy("bucket").applyInArrow(_sum_common, "bucket long, body binary"), "common")
+        common = _common(root, counted)
+        asked = asked.unionByName(counted.mapInArrow(_spread, "part long, chunk long, body binary"))
+    answers = asked.repartition(2 * root.parts, "part").groupBy("part").applyInArrow(lambda key, t: _answer(root, common, key, t), "chunk long, part long, body binary")
     return settle(answers.groupBy("chunk").applyInArrow(lambda t: _gather(root, t), SCORED), "scored")

@@ -362,6 +362,14 @@ def test_tree_scores_match_plain_dictionaries(spark, monkeypatch, texts, places,
         assert r["score"] == pytest.approx(want[r["doc_id"]], rel=5e-4)  # answers have eleven bits
 
 
+def test_no_score_depends_on_how_the_tree_is_cut(spark, monkeypatch, texts):
+    docs, found = docs_of(spark, texts * 2).repartition(3), []
+    for places in (2_000_000, 300):
+        monkeypatch.setattr(suffix_tree, "PLACES", places)
+        found.append({r["doc_id"]: r["score"] for r in suffix_tree.score(docs).collect()})
+    assert found[1] == pytest.approx(found[0], rel=1e-5)
+
+
 def test_every_distribution_of_the_tree_sums_to_one(spark, monkeypatch, texts):
     """Over the closed vocabulary: known words, the end, and an unseen word for each class."""
     monkeypatch.setattr(suffix_tree, "FREQUENT", 2e-3)
