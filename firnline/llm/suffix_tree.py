@@ -501,14 +501,23 @@ def _answer(root: Root, common: Common | None, key: tuple, group: pa.Table) -> p
     group = group.filter(pa.array(~wide))
     keys, totals = np.concatenate([np.zeros(0, _U), *(t[0] for t in told)]), np.concatenate([np.zeros(0, np.uint32), *(t[1] for t in told)])
     order = np.argsort(keys)
+    keys, totals = keys[order], totals[order]
     asked = [unpack(b.as_py()) for b in group.column("body")]
-    join = lambda i: np.concatenate([a[i] for a in asked])
-    context = np.repeat(join(0).astype(_U) << _U(32) | join(1), join(2))
-    logs = np.log10(chances(root, context, join(4), join(5), join(6), join(7), np.repeat(join(3), join(2)), common, keys[order], totals[order])).astype(np.float16)
-    counts = Groups(join(8)).sums(join(9).astype(np.int64))
-    ends = lambda i: np.cumsum([0, *(len(a[i]) for a in asked)])
+    ends = lambda i: np.cumsum([0, *(len(x[i]) for x in asked)])
     a, b = ends(6), ends(8)
-    out = [pack(logs[a[i] : a[i + 1]], counts[b[i] : b[i + 1]]) for i in range(len(asked))]
+    join = lambda i: np.concatenate([x[i] for x in asked])
+    counts = Groups(join(8)).sums(join(9).astype(np.int64))
+    context, who = np.repeat(join(0).astype(_U) << _U(32) | join(1), join(2)), np.repeat(join(3), join(2))
+    places = context, join(4), join(5), join(6), join(7), who
+    asked.clear()
+    logs = np.empty(len(who), np.float16)
+    # A share of the contexts at a time, as a place needs many times its own memory here; all of a crowded word's are in one share.
+    shares = max(1, len(who) * 4 // PLACES)
+    share = (np.where(who > 0, mix(who.astype(_U)), context) % _U(shares)).astype(np.uint32)
+    for i in range(shares):
+        at = np.flatnonzero(share == i)
+        logs[at] = np.log10(chances(root, *(x[at] for x in places), common, keys, totals))
+    out = [pack(logs[a[i] : a[i + 1]], counts[b[i] : b[i + 1]]) for i in range(group.num_rows)]
     return pa.table({"chunk": group.column("chunk"), "part": pa.array([part] * len(out), pa.int64()), "body": pa.array(out, pa.binary())}, kind)
 
 
@@ -534,11 +543,11 @@ def score(docs: DataFrame) -> DataFrame:
     docs = id_text(docs)
     root = Root.of(settle(docs.mapInArrow(_count_words, "key long, n long").repartition("key").mapInArrow(_sum_keys, "key long, n long"), "vocabulary"))
     asked = docs.mapInArrow(lambda it: _ask(root, it), "part long, chunk long, body binary")
-    common = None
+    common, files = None, max(1, root.parts // 8)  # written tables have few files, as Hadoop's local file system starts a chmod for each
     if root.crowded.any():
-        counted = docs.mapInArrow(lambda it: _count_common(root, it), "bucket long, body binary").repartition(2 * root.parts, "bucket")
+        counted = docs.mapInArrow(lambda it: _count_common(root, it), "bucket long, body binary").repartition(files, "bucket")
         counted = settle(counted.groupBy("bucket").applyInArrow(_sum_common, "bucket long, body binary"), "common")
         common = _common(root, counted)
         asked = asked.unionByName(counted.mapInArrow(_spread, "part long, chunk long, body binary"))
     answers = asked.repartition(2 * root.parts, "part").groupBy("part").applyInArrow(lambda key, t: _answer(root, common, key, t), "chunk long, part long, body binary")
-    return settle(answers.groupBy("chunk").applyInArrow(lambda t: _gather(root, t), SCORED), "scored")
+    return settle(answers.repartition(files, "chunk").groupBy("chunk").applyInArrow(lambda t: _gather(root, t), SCORED), "scored")
